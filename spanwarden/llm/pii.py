@@ -119,7 +119,7 @@ def token_features(text: str, start: int, end: int) -> list[int]:
     upper = sum(c.isupper() for c in core)
     before = text[max(0, start - 24) : start].split()
     names = ["bias", "shape " + _shape(core), "start " + core[:3].lower(), f"length {min(len(core) // 4, 10)}", f"digits {min(digits, 20)}", f"upper {min(upper // 4, 4)}", f"dots {min(core.count('.'), 4)}", f"at {'@' in core}", f"mixed {digits > 0 and digits < len(core)} {upper > 0}", "before " + (before[-1].lower().strip(_EDGES + "=")[:12] if before else "")]
-    names.append(f"given {text[max(0, start - 1) : start] in ('=', chr(34))}")
+    names.extend([f"kind {upper > 0} {any(c.islower() for c in core)} {digits > 0} {min(len(core), 48)}", f"given {text[max(0, start - 1) : start] in ('=', chr(34))}"])
     return sorted({zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names})
 
 

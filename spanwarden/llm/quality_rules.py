@@ -31,9 +31,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: name: (numerator, denominator, scale, least spread, judged from below too)
 RATIOS = {
     "symbols": ("n_symbols", "word_chars", 10_000, 50, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 500, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1_000, False),
     "repeats": ("n_repeat_words", "n_words", 10_000, 200, False),
-    "word_length": ("word_chars", "n_words", 100, 20, True),
+    "word_length": ("word_chars", "n_words", 100, 40, True),
 }
 FENCE = 6
 MIN_GROUP = 200
@@ -63,11 +63,8 @@ def measure(raw: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
     cuts = np.flatnonzero(raw == 10)
     start = np.sort(np.concatenate([bounds[:-1], cuts + 1]))
-    doc_start = np.searchsorted(bounds, start, side="right") - 1
-    # a line that starts right at a bound belongs to the text that ends there only if that text ends in \n
     ends = np.sort(np.concatenate([cuts, bounds[1:]]))
     line_doc = np.repeat(np.arange(n_docs), 1 + X.per_doc(raw == 10, bounds))
-    del doc_start
     has_word = np.searchsorted(w.start, ends) > np.searchsorted(w.start, start)
     line = X.span_hash(X.prefix(raw, X.BYTE_CODES), start, ends)
     key = X.mix(line + X.mix(line_doc.astype(X.U64)))[has_word]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanwarden.llm import chat, decontam, line_dedup, neardup, packing, pii, quality, quality_rules, tokens, toxicity
 from spanwarden.llm.common import read
+from spanwarden.plans.shipping import ship
 
 #: Rows that Arrow hands to Python at once; long texts make larger ones too large.
 BATCH_ROWS = "1000"
@@ -16,7 +17,7 @@ BATCH_ROWS = "1000"
 
 def session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return spark
+    return ship(spark)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
