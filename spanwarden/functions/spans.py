@@ -29,3 +29,8 @@ def hits(df: DataFrame, text: str, pattern: str) -> DataFrame:
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     return df.filter(F.col(text).rlike(pattern)).select("*", F.inline(F.aggregate(pairs, zero, step)["out"]))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row: the optimiser doesn't inline through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -154,7 +154,7 @@ def cleaned(units: DataFrame, findings: DataFrame) -> DataFrame:
     """(path, text, cleaned): texts with the planned spans replaced; nothing is written."""
     df = units.join(planned(findings), "path", "left")
     data = F.encode("text", "UTF-8")
-    piece = lambda a, b: F.decode(F.substring(F.col("data"), a + 1, b - a), F.lit("UTF-8"))
+    piece = lambda a, b: F.decode(F.substr(F.col("data"), a + 1, b - a), "UTF-8")
     df = df.withColumn("data", data)
     zero = F.expr("named_struct('at', 0L, 'out', '')")
     fold = F.aggregate(F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint,rule_id:string,replacement:string>>)")), zero, lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], piece(a["at"].cast("int"), s["start"].cast("int")), s["replacement"]).alias("out")))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwarden.functions.re2 import re2
-from spanwarden.functions.spans import hits
+from spanwarden.functions.spans import hits, once
 
 # Code points of the named rules, in the order they are tried.
 INVISIBLE = {"zwsp": "\u200b", "zwnj": "\u200c", "zwj": "\u200d", "word_joiner": "\u2060", "bom": "\ufeff", "soft_hyphen": "\u00ad"}
@@ -80,6 +80,8 @@ def _finding(df: DataFrame, rule: Column | str, evidence: Column, replacement: C
 def unicode_marks(units: DataFrame, aggressive: bool = False) -> DataFrame:
     """Invisible and look-alike code points; the first rule that fits wins."""
     pattern = EVERY if not aggressive else EVERY[:-1] + "".join(CONFUSABLE) + "]"
+    # most code points fail the first two ranges, so Java never tries the many that follow
+    pattern = f"[\u00a0\u00ad\u034f-\U0010ffff&&{pattern}]"
     df = hits(units, "text", pattern).withColumn("before", F.expr("substring(text, 1, at)")).withColumn("after", F.expr("substring(text, at + 2)"))
     c = F.col("hit")
     is_ = lambda chars: c.rlike(f"^[{chars}]\\z")
@@ -141,7 +143,7 @@ def comment_region(line: Column) -> Column:
 
 
 def comments(units: DataFrame) -> DataFrame:
-    df = lines(units).withColumn("region", comment_region(F.col("line"))).filter("region is not null")
+    df = once(lines(units), region=comment_region(F.col("line"))).filter("region is not null")
     return df.withColumn("region_offset", F.octet_length("line") - F.octet_length("region"))
 
 
@@ -164,10 +166,10 @@ def stamps(units: DataFrame) -> DataFrame:
 
 def origins(units: DataFrame) -> DataFrame:
     """Soft mentions of assistants: the first few of each rule and text."""
-    df = lines(units).withColumn("region", comment_region(F.col("line")))
+    df = once(lines(units), region=comment_region(F.col("line")))
     blank = F.trim(F.regexp_replace("line", "[\\t\\n\\r\\f ]+", " ")) == ""
     whole = F.when(~blank & ~F.ltrim(F.regexp_replace("line", "^[\\t ]+", "")).rlike(r"^[{\[]"), F.col("line"))
-    df = df.withColumn("scanned", F.coalesce("region", whole)).filter("scanned is not null")
+    df = once(df, scanned=F.coalesce("region", whole)).filter("scanned is not null")
     df = _stacked(df, {r: p for r, (p, _) in ORIGINS.items()}, "scanned")
     most = F.when(F.col("rule_id") == "origin.style.boilerplate", 3).otherwise(2)
     df = df.withColumn("place", F.row_number().over(W.partitionBy("path", "rule_id").orderBy("number"))).filter("place <= 3").filter(F.col("place") <= most)
