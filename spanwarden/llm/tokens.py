@@ -245,7 +245,7 @@ def _written(it: Iterator[pa.RecordBatch], folder: str, tokenizer: str, shard_by
                     fs.create_dir(root, recursive=True)
                     writer = Writer(fs.open_output_stream(temporary))
                 writer.add(key_bytes(key), np.append(ids, np.uint32(END_ID)))
-                if writer.at >= shard_bytes:
+                if writer.at + len(writer.block) >= shard_bytes:
                     finish()
     if writer is not None:
         finish()

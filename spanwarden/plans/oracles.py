@@ -58,7 +58,7 @@ def unicode_sql(aggressive: bool = False, source: str = "docs") -> str:
     confusable = f"translate(hit, {q(''.join(detect.CONFUSABLE))}, {q(''.join(detect.CONFUSABLE.values()))})"
     replacement = f"case when rule_id = 'unicode.confusable' then {confusable} when {spaces} then ' ' else '' end"
     rtl = _matches("text", "[\\p{Hebrew}\\p{Arabic}\\p{Syriac}]")
-    return f"""select path, rule_id, start, finish as "end", concat('U+', lpad(upper(format('{{:x}}', ord(hit))), greatest(4, length(format('{{:x}}', ord(hit)))), '0')) as evidence, {replacement} as replacement,
+    return f"""select path, rule_id, start, finish as "end", concat('U+', lpad(upper(format('{{:x}}', ord(hit))), greatest(4, length(format('{{:x}}', ord(hit))))::integer, '0')) as evidence, {replacement} as replacement,
       case when rule_id = 'unicode.bidi' and ({yes} or not {rtl}) then 'strip' end as clean
       from (select *, case {' '.join(cases)} end as rule_id from (select *, regexp_extract(before, '(?s)(.)[{detect.SKIPPED}]*\\z', 1) as prev, regexp_extract(after, '(?s)^[{detect.SKIPPED}]*(.)', 1) as nxt
       from (select *, substr(text, 1, chars) as before, substr(text, chars + 2) as after from ({hit_rows(source, pattern)})))) where rule_id is not null"""
