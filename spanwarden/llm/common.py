@@ -72,7 +72,7 @@ def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], right_row
         return out.drop(*marks.values())
     a, b = fresh("_salt_l", left.columns), fresh("_salt_r", left.columns)
     left = left.withColumn(a, F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in left.columns]), F.lit(salts)))
-    right = right.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    right = right.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [*on, F.col(a) == F.col(b)], how).drop(a, b, *marks.values())
 
 

@@ -230,3 +230,14 @@ def test_words_hash_alike_wherever_they_stand():
     w = words.split(raw, np.array([0, len(raw)]), words.space_separated(), fold=True)
     assert w.hash[0] == w.hash[2] != w.hash[1]
     assert len(list(words.blocks(pa.array(["x", None, ""])))) >= 1
+
+
+def test_join_beyond_the_broadcast_limit(spark):
+    from spanwarden.llm.common import join_small
+
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (3, "d")], "k long, x string")
+    right = spark.createDataFrame([(1, "one"), (None, "none"), (2, "two")], "k long, y string")
+    want = {("a", "one"), ("b", "one"), ("c", "none"), ("d", None)}
+    for limit in (0, 10):
+        out = join_small(left, right, ["k"], 3, limit=limit)
+        assert out.columns == ["k", "x", "y"] and {(r["x"], r["y"]) for r in out.collect()} == want
