@@ -40,15 +40,21 @@ from spanwarden.llm.common import cut, quoted, shared_path
 
 BLOCK = 64 << 10
 SHARD = 128 << 20
-CACHED = 700_000
+CACHED = 1_000_000
 END_ID = 2
 MAGIC = b"SWSST\x00\x01\n"
 BITS_PER_KEY, PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQ8s")  # index offset and length, filter offset and length, entries, ids
 _UNSAFE = re.compile(r"\s | \s|\x00")
+_BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", " \v", "\v ", " \f", "\f ", "\x00", "\x1c", "\x1d", "\x1e", "\x1f")
 _open: dict[str, Encoder] = {}
 
 
+def unsafe(text: str) -> bool:
+    """Whether a space stands beside other white space (or a text holds what marks the cuts)."""
+    return any(b in text for b in _BESIDE) if text.isascii() else _UNSAFE.search(text) is not None
+
+
 class Encoder:
     """A tokenizer with a bounded memory of pieces."""
 
@@ -60,7 +66,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [[t] if _UNSAFE.search(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
+        pieces = [[t] if unsafe(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
         new = list(set().union(*pieces).difference(self.known))
