@@ -197,7 +197,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> str:
     n = rows.count()
     if n > sample:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    return rows.mapInArrow(_observed, "seen string").repartition(1).mapInArrow(_fitted, "model string").first()["model"]
+    row = rows.mapInArrow(_observed, "seen string").repartition(1).mapInArrow(_fitted, "model string").first()
+    return json.dumps(fit([])) if row is None else row["model"]
 
 
 class Field:

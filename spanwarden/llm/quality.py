@@ -172,6 +172,8 @@ def _fitted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held_out: int = 2, sample: int = SAMPLE) -> dict:
     rows = labelled(docs, labels, label, folds, held_out, sample).repartition(1)
     row = rows.mapInArrow(_fitted, "weight binary, rest string").first()
+    if row is None:  # no labelled document
+        return fit([], np.empty(0))
     return {"weight": np.frombuffer(row["weight"], np.float32), **json.loads(row["rest"])}
 
 
