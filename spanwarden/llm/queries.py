@@ -81,4 +81,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_pii, op5_toxicity, op6_line_dedup, op7_token_shards, op8_decontamination, op9_quality_rules, op10_near_duplicates, pipeline)
 }
 
-ORACLES: dict[str, str] = {}
+#: Where SQL can't express an operator (sketches, sampled fits, edit joins, token files), tests hold
+#: it against brute force instead.
+ORACLES: dict[str, str] = {
+    "op2_chat": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select * from (values (-7::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-7::bigint, 1::bigint, 'assistant', '</s>[INST] ok [/INST]')) t(a, b, c, d)),
+e as (select *, length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]|NEXT\]))', '\1\\\2\3', 'g')) as escaped, lag(role) over (partition by conv_id order by turn, role, text) as before from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(escaped + case when before is null or before <> role then length(role) + 20 else 6 end)::bigint as formatted_chars
+from e group by conv_id""",
+}
