@@ -8,9 +8,9 @@ similarity 0.8 share no bucket with a chance of (1 - 0.8**6)**40 = 5e-6.
 
 Buckets are never expanded into pairs at once. First each bucket's most central member (the one
 whose buckets are fullest) is held against the others on full sets, and the links joined to
-components; then components that still share a bucket are held against each other, small ones pair
-by pair, larger ones block by block inside tasks. So every pair in a bucket is either joined or
-refuted on full sets.
+components; then the documents of buckets that still hold several components are joined on their
+rarest shingles, and what meets there is held against each other on full sets. So every pair in a
+bucket is joined, or refuted on full sets or by the bounds that such sets keep.
 
 Defined results: a text with fewer words than a shingle is one shingle, its whole sequence; null
 and wordless texts have an empty set and link with nothing; rows that share a doc_id are one
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,58 +125,30 @@ def _alike(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-#: Pairs of components with up to this many pairs of documents are written out as pairs.
-FEW_PAIRS = 64
-#: Documents on each side of a block of larger pairs of components.
-SIDE = 256
-
-
-def _against(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """One link, if there is any, of each document on the left with those on the right."""
-    sizes = np.array([len(s) for s in right["set"]])
-    key, owner = np.concatenate(right["set"].to_list()), np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(key, kind="stable")
-    key, owner = key[order], owner[order]
-    out = []
-    for x, own in zip(left["x"], left["own"], strict=True):
-        low, high = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
-        n = high - low
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        both = np.bincount(owner[at], minlength=len(sizes))
-        hit = np.flatnonzero(both * 100 >= (sizes + len(own) - both) * percent)
-        if len(hit):
-            y = int(right["y"].iloc[hit[0]])
-            out.append((min(int(x), y), max(int(x), y)))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-
-def _joined(sides: DataFrame, whole: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Links between pairs of components (component, other); ``known`` pairs of documents have been judged.
-
-    Where the components are small their pairs of documents are rows. Elsewhere blocks of both
-    components meet in a task that holds every document of one against every one of the other and
-    returns a link for each document that has one: no pair becomes a row.
+def _joined(apart: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Links between documents (rep, component) of different components; ``known`` pairs have been judged.
+
+    Sets are ordered from the rarest shingle on. Two sets that are similar enough share one among the
+    first of each, and the first that they share leaves enough places behind it (prefix and position
+    bounds of Bayardo, Ma and Srikant, 2007, and Xiao et al., 2008). So copies that differ from
+    one another by too much meet only in shingles that few of them have, not all with all.
     """
-    size = whole.groupBy("component").agg(F.count("*").alias("size"))
-    pairs = sides.join(size, "component").join(size.select(F.col("component").alias("other"), F.col("size").alias("other_size")), "other")
-    first = F.col("size") <= F.col("other_size")
-    pairs = cut(pairs.select(F.when(first, F.col("component")).otherwise(F.col("other")).alias("p"), F.when(first, F.col("other")).otherwise(F.col("component")).alias("q"), F.least("size", "other_size").alias("np"), F.greatest("size", "other_size").alias("nq")))
-    in_p, in_q = whole.select(F.col("component").alias("p"), F.col("rep").alias("x")), whole.select(F.col("component").alias("q"), F.col("rep").alias("y"))
-    rows = pairs.filter(F.col("np") * F.col("nq") <= FEW_PAIRS).join(in_p, "p").join(in_q, "q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = _linked(rows.join(known, ["a", "b"], "left_anti"), sets, percent)
-    large = cut(pairs.filter(F.col("np") * F.col("nq") > FEW_PAIRS))
-    if large.isEmpty():
-        return links
-    cells = large.groupBy("q").agg(F.ceil(F.max("nq") / SIDE).cast("long").alias("down"), F.ceil(F.sum("np") / SIDE).cast("long").alias("across"))
-    cells = cut(cells)
-    block = lambda id_, n: F.pmod(F.xxhash64(id_), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = large.join(in_p, "p").select("q", "x").distinct().join(cells, "q").select("q", "x", block("x", F.col("across")).alias("i"), every("down").alias("j"))
-    left = left.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("own")), "x")
-    right = in_q.join(cells, "q").select("q", "y", block("y", F.col("down")).alias("j"), every("across").alias("i"))
-    right = right.join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("set")), "y").select(F.col("q").alias("k"), F.col("i").alias("m"), F.col("j").alias("n"), "y", "set")
-    found = left.groupBy("q", "i", "j").cogroup(right.groupBy("k", "m", "n")).applyInPandas(lambda x, y: _against(x, y, percent) if len(x) and len(y) else pd.DataFrame({"a": [], "b": []}).astype("int64"), "a long, b long")
-    return links.union(found)
+    own = cut(apart.join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("n", F.size("shingles").cast("long")))
+    tokens = own.select("rep", F.explode("shingles").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    order = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
+    # shingles of one set alone come before all others and meet nothing
+    first = order.join(own.select("rep", "component", "n"), "rep").withColumn("alone", F.col("n") - F.size("order"))
+    probed = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
+    placed = cut(first.select("rep", "component", "n", "alone", F.posexplode(F.slice("order", F.lit(1), probed)).alias("at", "o")).select("rep", "component", "n", (F.col("alone") + F.col("at")).alias("at"), F.col("o.token").alias("token")))
+    x = placed.select("token", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("at").alias("px"))
+    indexed = F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    y = placed.filter(indexed).select("token", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("at").alias("py"))
+    smaller = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
+    enough = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+    met = x.alias("l").join(y.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("cx") != F.col("cy")) & smaller & _alike("nx", "ny", percent) & enough)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return _linked(pairs.join(known, ["a", "b"], "left_anti"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -208,13 +179,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # what shares a bucket and is still apart, by component
     whole = cut(ids.select("rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
-    in_key = members.join(whole, "rep").groupBy("key", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    split = in_key.groupBy("key").agg(F.count("*").alias("parts")).filter("parts > 1").select("key")
-    apart = cut(in_key.join(split, "key", "left_semi"))
-    other = apart.select("key", F.col("component").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    near = (F.col("high") * 100 >= F.col("other_low") * percent) & (F.col("other_high") * 100 >= F.col("low") * percent)
-    sides = apart.join(other, "key").filter((F.col("component") < F.col("other")) & near).select("component", "other").distinct()
-    more = cut(_joined(sides, whole, sets, stars, percent))
+    in_key = members.join(whole, "rep")
+    split = in_key.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    apart = cut(in_key.join(split, "key", "left_semi").select("rep", "component").distinct())
+    more = cut(_joined(apart, sets, stars, percent))
     if not more.isEmpty():
         part = cut(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
 

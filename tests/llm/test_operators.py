@@ -65,12 +65,22 @@ def test_near_duplicates(spark, corpus, k):
     assert neardup.one_of_each(table(spark, corpus), shingle=k).count() == sum(top(i) == i for i in range(len(sets)))
 
 
-def test_large_components_meet_in_blocks():
-    import pandas as pd
-
-    left = pd.DataFrame({"x": [1, 2], "own": [np.arange(10), np.arange(100, 110)]})
-    right = pd.DataFrame({"y": [7, 8], "set": [np.arange(50, 60), np.arange(1, 10)]})
-    assert neardup._against(left, right, 80).values.tolist() == [[1, 8]]
+@pytest.mark.parametrize("percent", [50, 80])
+def test_documents_of_shared_buckets_join_on_rare_shingles(spark, percent):
+    random.seed(11)
+    sets = []
+    for _ in range(6):
+        base = random.sample(range(3000), random.choice([1, 7, 40, 60]))
+        for k in range(25):
+            kept = random.sample(base, max(1, len(base) - random.randrange(len(base) // 5 + 1)))
+            sets.append(sorted({*kept, *random.sample(range(3000), random.randrange(k // 4 + 1))}))
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>")
+    apart = df.select(F.col("id").alias("rep"), (F.col("id") - F.col("id") % 2).alias("component"))
+    known = spark.createDataFrame([(0, 2), (1, 4)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in neardup._joined(apart, df, known, percent).collect()}
+    alike = lambda x, y: 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if a // 2 != b // 2 and alike(sets[a], sets[b])}
+    assert got == want - {(0, 2), (1, 4)} and len(want) > 100
 
 
 def test_line_join(spark):
