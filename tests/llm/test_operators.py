@@ -83,9 +83,17 @@ def test_documents_of_shared_buckets_join_on_rare_shingles(spark, percent):
     assert got == want - {(0, 2), (1, 4)} and len(want) > 100
 
 
-def test_line_join(spark):
+@pytest.mark.parametrize("crowd", [16, 0])
+def test_line_join(spark, crowd):
     random.seed(3)
     rows = []
+    base = "".join(random.choice("abcé ") for _ in range(30))
+    for _ in range(60):  # many lines that share segments
+        b = list(base)
+        for _ in range(random.randint(1, 4)):
+            at = random.randrange(len(b))
+            b[at : at + random.randint(0, 1)] = random.choice(["", "a", "b", "é"])
+        rows.append("".join(b))
     for _ in range(60):
         a = "".join(random.choice("abcé ") for _ in range(random.randint(8, 40)))
         b = list(a)
@@ -97,7 +105,7 @@ def test_line_join(spark):
     one = lines.select("h", "n", "line").distinct()
     both = one.join(one.select(F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("line").alias("other")), F.expr("nb - n between 0 and 2 and (n < nb or h < hb)"))
     want = both.filter(F.levenshtein("line", "other") <= 2).count()
-    found = line_dedup.candidates(lines, 2)
+    found = line_dedup.candidates(lines, 2, crowd)
     texts = one.select(F.col("h").alias("ha"), F.col("n").alias("na"), F.col("line").alias("la")), one.select(F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("line").alias("lb"))
     assert line_dedup.within(found.join(texts[0], ["ha", "na"]).join(texts[1], ["hb", "nb"]), "la", "lb", 2).count() == want > 30
 
