@@ -118,6 +118,23 @@ def test_line_dedup(spark):
     assert line_dedup.without_repeats(df).columns == df.columns
 
 
+def test_removed_lines_are_counted_with_repeats_in_one_text(spark):
+    a, b, c = ("this line is the first one of those here", "another line, of other words than the one", "neither of them, but a third of its own kind")
+    texts = ["\n".join([a] * 1000), f"{b}\n{c}\n{b}\nshort\nshort", f"{c}\n{a}\n{c}\n{b}", f"{a}!\n{a}!", None, "", "short\n\nshort"]
+    df = table(spark, texts)
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines = t.split("\n") if t is not None else []
+        long = [x for x in lines if len(x) >= 30]
+        stay = {x for x in long if x not in seen and x.rstrip("!") not in seen}
+        seen |= set(long)
+        want[i] = (len(lines), len(long) - len(stay))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in line_dedup.counted(df).collect()}
+    assert got == want and want[0] == (1000, 999)
+    left = {r["doc_id"]: len(r["text"].split("\n")) for r in line_dedup.without_repeats(df).filter("text is not null").collect()}
+    assert all(left[i] == got[i][0] - got[i][1] for i in left)
+
+
 def test_decontamination(spark, corpus):
     items = [corpus[14], " ".join(corpus[20].split()[5:25]), "zü ünï", "", None, "one"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
