@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.counted(read(session(spark), sf_dir, "documents"))
+    return line_dedup.counted(read(session(spark), sf_dir, "documents"), short=True)
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,6 +135,19 @@ def test_removed_lines_are_counted_with_repeats_in_one_text(spark):
     assert all(left[i] == got[i][0] - got[i][1] for i in left)
 
 
+def test_short_lines_with_words_are_merged_in_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from spanwarden.llm import queries
+
+    texts = ["All rights reserved.\n\n---\nfirst of the texts", "second\n\n---\nAll rights reserved.\n7\n7", "All rights reserved?\n\n7", "All rights reserved."]
+    df = table(spark, texts)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {0: texts[0], 1: "second\n\n---\n7", 2: "All rights reserved?\n"}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, df, "").collect()} == want
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_links"]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (4, 0, 0), 1: (6, 2, 0), 2: (3, 1, 0), 3: (1, 1, 0)}
+
+
 def test_decontamination(spark, corpus):
     items = [corpus[14], " ".join(corpus[20].split()[5:25]), "zü ünï", "", None, "one"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
