@@ -148,6 +148,40 @@ def test_short_lines_with_words_are_merged_in_query_and_pipeline(spark, tmp_path
     assert got == {0: (4, 0, 0), 1: (6, 2, 0), 2: (3, 1, 0), 3: (1, 1, 0)}
 
 
+def test_long_lines_link_by_a_share_of_their_length(spark):
+    random.seed(8)
+    letters = "abcdefghé ʒ𝒳"
+    lines = []
+    for n in (119, 120, 159, 160, 400, 1700):
+        base = [random.choice(letters) for _ in range(n)]
+        lines.append("".join(base))
+        for k in (1, 3, n // 40, n // 40 + 1):
+            b = list(base)
+            for j in range(k):  # evenly spread, so that what is shared is shortest
+                at = (j + 1) * len(b) // (k + 1)
+                b[at : at + random.randint(0, 1)] = random.choice(["", "XY"[:1], "Z"])
+            lines.append("".join(b))
+    lines = list(dict.fromkeys(lines))
+    random.shuffle(lines)
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    links, near = [0] * len(lines), [0] * len(lines)
+    for j, b in enumerate(lines):
+        for i, a in enumerate(lines[:j]):
+            n = min(len(a), len(b))
+            if abs(len(a) - len(b)) <= n // 40 and apart(a, b) <= max(2, n // 40):
+                links[i], links[j], near[j] = links[i] + 1, links[j] + 1, 1
+    got = {r["doc_id"]: (r["n_links"], r["n_near"]) for r in line_dedup.counted(table(spark, lines)).collect()}
+    assert got == dict(enumerate(zip(links, near, strict=True))) and sum(near) > 12
+
+
 def test_decontamination(spark, corpus):
     items = [corpus[14], " ".join(corpus[20].split()[5:25]), "zü ünï", "", None, "one"]
     bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
