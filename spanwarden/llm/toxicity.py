@@ -147,7 +147,7 @@ def _judged(it: Iterator[pa.RecordBatch], entries: dict[str, float]) -> Iterator
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
             text = folded(text)
             sums[label].update({p for end, n, _ in (_hits(text, automaton) if entries else ()) for p in _phrases(text, end, n)})
-    keys = [*sums[0]]
+    keys = [*(sums[0] | sums[1])]
     yield from pa.table({"phrase": pa.array(keys, pa.string()), "toxic": pa.array([sums[1][k] for k in keys], pa.int64()), "clean": pa.array([sums[0][k] for k in keys], pa.int64())}).to_batches()
 
 

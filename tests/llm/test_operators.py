@@ -300,6 +300,23 @@ def test_classifiers(spark, module, label):
     assert {r["score"] for r in none.collect()} == {0.5}
 
 
+def test_judged_phrases_do_not_depend_on_the_split():
+    rows = [("a bad day", 0), ("a bad day", 1), ("so bad day", 1)]
+    batch = lambda part: pa.RecordBatch.from_pydict({"text": [t for t, _ in part], "label": [y for _, y in part]})
+
+    def sums(parts):
+        out = collections.Counter()
+        for part in parts:
+            for b in toxicity._judged(iter([batch(part)]), {"bad": 1.0}):
+                for r in b.to_pylist():
+                    out[r["phrase"], "toxic"] += r["toxic"]
+                    out[r["phrase"], "clean"] += r["clean"]
+        return out
+
+    split = sums([[r] for r in rows])
+    assert split == sums([rows]) and max(split.values()) == 2
+
+
 def test_empty_tables(spark):
     df = table(spark, ["x"]).filter("false")
     bench = spark.createDataFrame([], "item_id long, text string")
