@@ -1,7 +1,7 @@
 """Packing by optimal length buckets.
 
 Texts are cut into pieces of at most ``LONGEST`` tokens. A global histogram of piece lengths, rounded
-up to multiples of ``GRAIN``, feeds a dynamic programme that chooses ``BUCKETS`` bucket boundaries with
+up to multiples of ``GRAIN`` (1: as they are), feeds a dynamic programme that chooses ``BUCKETS`` bucket boundaries with
 the least padding. Inside each bucket the pieces, in order of shard and key, form batches of as many
 rows as fit the token budget at the bucket's length.
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spanwarden.llm.common import WORD_PATTERN, cut, quoted
 
-LONGEST, GRAIN, BUCKETS, BUDGET = 2048, 16, 8, 16_384
+LONGEST, GRAIN, BUCKETS, BUDGET = 2048, 1, 8, 16_384
 SHARDS = 256
 #: More shards than SHARDS where they would hold more rows than this.
 SHARD_ROWS = 1 << 20

@@ -256,6 +256,11 @@ def test_packing(spark, corpus):
     assert all(words_of[i] == len(folded(t)) for i, t in enumerate(corpus))
 
 
+def test_packing_pads_least_on_exact_lengths(spark):
+    rows = packing.pack(table(spark, ["a " * n for n in (3, 17, 17, 35, 100, 2047)])).collect()
+    assert len(rows) == 6 and all(r["bucket"] == r["n_tokens"] for r in rows)
+
+
 def test_boundaries_pad_least():
     from itertools import combinations
 
