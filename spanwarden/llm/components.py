@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Edges stay in DataFrames. A step takes each node's smallest neighbour with a partially aggregated
-minimum and joins it back, so a hot node's edges are never gathered in one task. Each round is
-written to the shared checkpoint folder.
+minimum and joins it back: broadcast while the nodes are few, else dealt by node and salt, so a hot
+node's edges are spread either way. Each round is written to the shared checkpoint folder; rounds go on
+until an edge set stays as it is.
 """
 
 from __future__ import annotations
@@ -10,35 +11,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwarden.llm.common import cut
+from spanwarden.llm.common import cut, join_small
 
+#: Nodes (16 bytes each) whose smallest neighbours are broadcast at most.
+BROADCAST_NODES = 100_000
 
-def _large(edges: DataFrame) -> DataFrame:
+
+def _large(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return both.join(least, F.col("u") == F.col("x")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # an edge has two nodes at most
+    joined = join_small(both, least, ["u"], 2 * n, "inner", BROADCAST_NODES)
+    return joined.filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least.withColumnRenamed("u", "x"), F.col("u") == F.col("x")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_small(edges, least, ["u"], n, "inner", BROADCAST_NODES).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every linked node; a component is named by its smallest node."""
     edges = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = cut(edges)
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    was = mark(edges)
-    for _ in range(rounds):
-        if not was[0]:
-            break
-        edges = cut(_small(_large(edges)).distinct())
-        now = mark(edges)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError("components did not settle")
+    now, was = mark(edges), None
+    while now[0] and now != was:
+        large = cut(_large(edges, now[0]).distinct())
+        edges = cut(_small(large, now[0]).distinct())
+        now, was = mark(edges), now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -14,7 +14,9 @@ bucket is joined, or refuted on full sets or by the bounds that such sets keep.
 
 Defined results: a text with fewer words than a shingle is one shingle, its whole sequence; null
 and wordless texts have an empty set and link with nothing; rows that share a doc_id are one
-document; a row without doc_id stays and has no component; extra columns pass through.
+document (in ``one_of_each`` each is its own); a row without doc_id stays and has no component; an
+empty table gives an empty one; of equal sets the smallest doc_id stands for all; texts of any length are
+read whole, in slices of whole texts; extra columns pass through, helper columns avoid their names.
 """
 
 from __future__ import annotations
@@ -135,8 +137,8 @@ def _joined(apart: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -
     """
     own = cut(apart.join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("n", F.size("shingles").cast("long")))
     tokens = own.select("rep", F.explode("shingles").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    order = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
+    shared = cut(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    order = join_small(tokens, shared, ["token"], shared.count(), "inner", BROADCAST_IDS).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
     # shingles of one set alone come before all others and meet nothing
     first = order.join(own.select("rep", "component", "n"), "rep").withColumn("alone", F.col("n") - F.size("order"))
     probed = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
@@ -163,8 +165,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     single = join_small(real, classes, ["h1", "h2"], n_classes).filter(F.coalesce("rep", "doc_id") == F.col("doc_id"))
     every = single.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
 
-    full = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = cut(every.join(full, "key").distinct())
+    full = cut(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    members = cut(join_small(every, full, ["key"], n_keys := full.count(), "inner", BROADCAST_IDS).distinct())
     ids = members.groupBy("rep").agg(F.sum("c").alias("score"))
     ids = cut(ids)
     wanted = ids.select(F.col("rep").alias("doc_id"))
@@ -172,7 +174,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     scored = members.join(ids, "rep")
     centre = scored.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("rep")).alias("r"), F.col("n").alias("m"))).alias("top"))
-    stars = members.join(centre, "key").withColumn("a", -F.col("top.r")).withColumn("m", F.col("top.m"))
+    stars = join_small(members, centre, ["key"], n_keys, "inner", BROADCAST_IDS).withColumn("a", -F.col("top.r")).withColumn("m", F.col("top.m"))
     stars = cut(stars.filter((F.col("a") != F.col("rep")) & _alike("n", "m", percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = cut(_linked(stars, sets, percent))
     part = cut(components(links, "a", "b"))
@@ -181,7 +183,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = cut(ids.select("rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
     in_key = members.join(whole, "rep")
     split = in_key.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = cut(in_key.join(split, "key", "left_semi").select("rep", "component").distinct())
+    apart = cut(join_small(in_key.select("key", "rep", "component"), split, ["key"], n_keys, "inner", BROADCAST_IDS).select("rep", "component").distinct())
     more = cut(_joined(apart, sets, stars, percent))
     if not more.isEmpty():
         part = cut(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
@@ -193,19 +195,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents that stay, one of each group, with their own columns; rows without doc_id stay."""
-    found = cut(near_duplicates(docs, doc_id=doc_id, **options))
-    key = fresh("_id", docs.columns)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
-    repeated = cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)))
-    marked = lambda ids, flag: ids.withColumn(flag, F.lit(True))
-    went, twice = fresh("_gone", docs.columns), fresh("_twice", docs.columns)
-    rows = docs.withColumn(key, F.col(quoted(doc_id)).cast("long"))
-    gone = cut(gone)
-    rows = join_small(rows, marked(gone, went), [key], gone.count(), limit=BROADCAST_IDS).filter(F.col(went).isNull())
-    n = repeated.count()
-    if n:
-        rows = join_small(rows, marked(repeated, twice), [key], n, limit=BROADCAST_IDS)
-        rows = rows.filter(F.col(twice).isNull()).unionByName(rows.filter(F.col(twice).isNotNull()).dropDuplicates([key]))
-    return rows.select(*[quoted(c) for c in docs.columns])
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that stay, one of each group (smallest doc_id, rows without one last), with their own columns.
+
+    Here every row is a document of its own, known by the hash of its doc_id and text, so rows that
+    share a doc_id, or have none, are judged by their own texts; of rows equal in both one stays.
+    """
+    key, keep, group, same = (fresh(c, docs.columns) for c in ("_row", "_keep", "_group", "_same"))
+    rows = docs.withColumn(key, F.xxhash64(F.col(quoted(doc_id)), F.col(quoted(text)).isNull(), F.col(quoted(text))))
+    found = near_duplicates(rows, key, text, **options).filter("n_shingles > 0").select(F.col("doc_id").alias(key), F.col("component_id").alias(group))
+    found = cut(found.groupBy(key, group).agg(F.count("*").alias(same)))
+    many = cut(found.groupBy(group).agg(F.sum(same).alias("c")).filter("c > 1").select(group))
+    linked = cut(join_small(found, many, [group], many.count(), "inner", BROADCAST_IDS))
+    place = F.struct(F.col(quoted(doc_id)).isNull().alias("none"), F.col(quoted(doc_id)).alias("id"), F.col(key).alias("row")).alias("place")
+    places = join_small(rows.select(key, place), linked, [key], n := linked.count(), "inner", BROADCAST_IDS)
+    first = cut(places.groupBy(group).agg(F.min("place")["row"].alias(keep)))
+    told = join_small(linked, first, [group], n, "inner", BROADCAST_IDS).drop(group)
+    rows = join_small(rows, told, [key], n, "left", BROADCAST_IDS).filter(F.col(keep).isNull() | (F.col(keep) == F.col(key)))
+    alone = rows.filter(F.coalesce(F.col(same), F.lit(1)) == 1)
+    return alone.unionByName(rows.filter(F.col(same) > 1).dropDuplicates([key])).select(*[quoted(c) for c in docs.columns])
