@@ -182,17 +182,21 @@ def test_long_lines_link_by_a_share_of_their_length(spark):
     assert got == dict(enumerate(zip(links, near, strict=True))) and sum(near) > 12
 
 
-def test_decontamination(spark, corpus):
-    items = [corpus[14], " ".join(corpus[20].split()[5:25]), "zü ünï", "", None, "one"]
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+def test_decontamination(spark, corpus, monkeypatch):
+    again = " ".join(corpus[25].split()[3:19])
+    corpus = [*corpus, *[". ".join([again] * 30)] * 2, (again + " and ") * 3]
+    items = [corpus[14], " ".join(corpus[20].split()[5:25]), "zü ünï", "", None, "one", again, f"{again} {again}", again.upper(), "one"]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(0, corpus[14]), (None, " ".join(corpus[30].split()[:15]))], "item_id long, text string")
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     low = lambda t: re.findall(pattern, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = collections.defaultdict(set)
-    for i, t in enumerate(items):
+    for i, t in [*enumerate(items), (None, " ".join(corpus[30].split()[:15]))]:
         w = low(t)
         for j in range(max(len(w) - 12, 1) if w else 0):
             windows[tuple(w[j : j + 13])].add(str(i))
-    for block in (1 << 20, 200):
+    for block, limit in ((1 << 20, 1000), (200, 1000), (20, 0)):
+        monkeypatch.setattr(decontam, "BROADCAST_KEYS", limit)
+        monkeypatch.setattr(decontam, "BROADCAST_TEXTS", limit)
         rows, names = decontam.contamination(table(spark, corpus), bench, block_bytes=block)
         assert names["n_words"] == "n_words_" and rows.count() == len(corpus)
         for r in rows.collect():
@@ -202,7 +206,8 @@ def test_decontamination(spark, corpus):
                     if (k := tuple(w[j : j + n])) in windows:
                         hit |= set(range(j, j + n))
                         found |= windows[k]
-            assert (r["n_words_"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found))
+            assert (r["n_words_"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found - {"None"}))
+            assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
 def test_quality_rules(spark, corpus):
