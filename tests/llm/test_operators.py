@@ -105,7 +105,8 @@ def test_line_join(spark, crowd):
     one = lines.select("h", "n", "line").distinct()
     both = one.join(one.select(F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("line").alias("other")), F.expr("nb - n between 0 and 2 and (n < nb or h < hb)"))
     want = both.filter(F.levenshtein("line", "other") <= 2).count()
-    found = line_dedup.candidates(lines, 2, crowd)
+    ladder = ((0, 2),)
+    found = line_dedup.candidates(line_dedup.members(lines, ladder, 8, line_dedup.shared_keys(lines, ladder, 8)), ladder, crowd)
     texts = one.select(F.col("h").alias("ha"), F.col("line").alias("la")), one.select(F.col("h").alias("hb"), F.col("line").alias("lb"))
     assert line_dedup.within(found.join(texts[0], "ha").join(texts[1], "hb"), "la", "lb", 2).count() == want > 30
 
