@@ -14,8 +14,9 @@ piece once (and forgets all when it holds ``CACHED``). Other white space stays i
 
 Shards lie in the folder that the cluster shares. A task writes under a name of its own and renames
 at the end, so a repeated task leaves the same file. Defined results: null texts are empty and hold
-the end id alone; null keys sort first; rows of one key are ordered by a hash of their text;
-repeated rows are entries of their own; an empty table gives no shard; extra columns are ignored.
+the end id alone; null keys sort first; rows of one key are ordered by a hash of their text, equal rows as
+they were read; repeated rows are entries of their own; a text of any length is one entry; an empty table
+gives no shard; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwarden.llm.common import cut, quoted, shared_path
@@ -42,6 +44,8 @@ BLOCK = 64 << 10
 SHARD = 128 << 20
 CACHED = 1_000_000
 END_ID = 2
+#: Parts whose shards' offsets are summed at once.
+PARTS = 1000
 MAGIC = b"SWSST\x00\x01\n"
 BITS_PER_KEY, PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQ8s")  # index offset and length, filter offset and length, entries, ids
@@ -262,15 +266,21 @@ def _written(it: Iterator[pa.RecordBatch], folder: str, tokenizer: str, shard_by
 def write_shards(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", folder: str | None = None, shard_bytes: int = SHARD) -> DataFrame:
     """Write all documents; return the manifest (path, part, number, entries, ids), in part and number order."""
     folder = folder or shared_path(docs.sparkSession, "shards")
-    rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"), F.xxhash64(F.col(quoted(text))).alias("h"))
-    rows = rows.repartitionByRange(F.asc_nulls_first("key"), F.asc("h")).sortWithinPartitions(F.asc_nulls_first("key"), F.asc("h")).select("key", "text")
+    # equal rows are told apart by where they were read, so that they can be split
+    rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"), F.xxhash64(F.col(quoted(text))).alias("h"), F.monotonically_increasing_id().alias("at"))
+    order = [F.asc_nulls_first("key"), F.asc("h"), F.asc("at")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     return cut(rows.mapInArrow(partial(_written, folder=folder, tokenizer=tokenizer, shard_bytes=shard_bytes), "path string, part long, number long, entries long, ids long"))
 
 
-def _read(it: Iterator[pa.RecordBatch], before: dict[str, int]) -> Iterator[pa.RecordBatch]:
+def _footers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        for path in batch.column("path").to_pylist():
-            at = before[path]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("path", "part", "number")], pa.array([Shard(p).ids for p in batch.column("path").to_pylist()], pa.int64())], names=["path", "part", "number", "ids"])
+
+
+def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        for path, at in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             rows: list[tuple] = []
             for key, ids in Shard(path):
                 rows.append((key_of(key), at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
@@ -286,13 +296,20 @@ def _digest(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every entry, read from the files.
+def offsets(manifest: DataFrame) -> DataFrame:
+    """(path, start): how many ids lie in the shards before each, by the footers of the files.
 
-    The driver holds one number per shard: how many ids lie before it.
+    Sums run within groups of neighbouring parts, and over the groups.
     """
-    before, at = {}, 0
-    for r in sorted(manifest.select("path", "part", "number", "ids").collect(), key=lambda r: (r["part"], r["number"])):
-        before[r["path"]] = at
-        at += r["ids"]
-    return manifest.select("path").mapInArrow(partial(_read, before=before), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ids = manifest.select("path", "part", "number").mapInArrow(_footers, "path string, part long, number long, ids long")
+    ids = cut(ids.withColumn("group", F.expr(f"part div {PARTS}")))
+    group = W.partitionBy(F.lit(0)).orderBy("group")
+    sums = ids.groupBy("group").agg(F.sum("ids").alias("all"))  # a row for PARTS parts
+    sums = sums.select(F.col("group").alias("g"), (F.sum("all").over(group) - F.col("all")).alias("before"))
+    within = F.sum("ids").over(W.partitionBy("group").orderBy("part", "number")) - F.col("ids")
+    return ids.withColumn("within", within).join(sums, F.col("group") == F.col("g")).select("path", (F.col("before") + F.col("within")).alias("start"))
+
+
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every entry, read from the files."""
+    return offsets(manifest).repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism), "path").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
