@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -17,10 +18,13 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made.
+    Only in local mode, where the session names none (tests, a laptop), a temporary folder is made; on a
+    cluster executors wouldn't see each other's files there, so the setting is asked for.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^,]*(,[0-9]+)?\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"spanwarden-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

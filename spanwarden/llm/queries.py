@@ -11,12 +11,14 @@ from spanwarden.llm import chat, decontam, line_dedup, neardup, packing, pii, qu
 from spanwarden.llm.common import read
 from spanwarden.plans.shipping import ship
 
-#: Rows that Arrow hands to Python at once; long texts make larger ones too large.
-BATCH_ROWS = "1000"
+#: Rows and bytes that Arrow hands to Python at once; either bound ends a batch, so long texts don't add up.
+BATCH_ROWS, BATCH_BYTES = "1000", "16m"
 
 
 def session(spark: SparkSession) -> SparkSession:
+    """Bounds what Python workers get at once, and ships them the package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return ship(spark)
 
 

@@ -252,6 +252,26 @@ def test_token_shards(spark, corpus, tmp_path):
     assert len(shards) > 1 and sum(len(s.get(20)) for s in shards) == 1 and not any(s.get(10**9) for s in shards)
 
 
+@pytest.mark.parametrize("parts", [1, 1000])
+def test_token_shards_of_missing_and_repeated_keys(spark, tmp_path, monkeypatch, parts):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "PARTS", parts)
+    path = public.path("byte_bpe_50k.json")
+    rows = [(None, "x y"), (None, "x y"), (None, None), (3, "one two"), (3, "one two"), (3, "three"), (-5, ""), (2**62, "word " * 2000)] * 3
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, key int")
+    got = tokens.read_shards(tokens.write_shards(df, path, folder=f"file://{tmp_path}", shard_bytes=2000)).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    starts = np.cumsum([0] + [r["n_tokens"] for r in got])[:-1]
+    assert [r["start"] for r in got] == starts.tolist()
+    encode = Tokenizer.from_file(path).encode
+    crc = lambda t: zlib.crc32(np.array([*encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(k), crc(t)) for k, t in rows)
+    none = tokens.write_shards(df.filter("false"), path, folder=f"file://{tmp_path}/none")
+    assert none.count() == 0 == tokens.read_shards(none).count()
+
+
 def test_packing(spark, corpus):
     rows = packing.pack(table(spark, corpus), longest=64, grain=4, buckets=3, budget=256).collect()
     words_of = collections.Counter()
@@ -262,6 +282,18 @@ def test_packing(spark, corpus):
     assert all(words_of[i] == len(folded(t)) for i, t in enumerate(corpus))
 
 
+def test_packing_of_ids_that_are_missing_repeated_or_text(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 4)
+    for kind, ids in (("long", [None, None, 5, 5, 6]), ("string", [None, "a", "a", "b", "c"])):
+        rows = [(ids[i % 5], "x " * (3 + i % 4)) for i in range(200)] + [(ids[2], None), (ids[4], " ")]
+        got = packing.pack(spark.createDataFrame(rows, f"doc_id {kind}, text string"), buckets=2, budget=30).collect()
+        fit = lambda b: max(1, 30 // b)
+        assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in got) == collections.Counter((i, len(t.split())) for i, t in rows if t and t.split())
+        for b in {r["bucket"] for r in got}:
+            places = sorted(r["batch"] * fit(b) + r["slot"] for r in got if r["bucket"] == b)
+            assert places == list(range(len(places)))
+
+
 def test_packing_pads_least_on_exact_lengths(spark):
     rows = packing.pack(table(spark, ["a " * n for n in (3, 17, 17, 35, 100, 2047)])).collect()
     assert len(rows) == 6 and all(r["bucket"] == r["n_tokens"] for r in rows)
