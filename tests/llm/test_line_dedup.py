@@ -86,6 +86,15 @@ def test_counts_and_texts(spark, short):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect()) == stay
 
 
+@pytest.mark.parametrize("crowd, crowds", [(0, 1000), (0, 0)])
+def test_crowded_segments(spark, monkeypatch, crowd, crowds):
+    rows = corpus()
+    df = spark.createDataFrame([(*r, 3, "at", "clash") for r in rows], SCHEMA)
+    want = sorted(map(str, line_dedup.counted(df, ladder=SMALL).collect()))
+    monkeypatch.setattr(line_dedup.candidates, "__defaults__", (crowd, crowds))
+    assert sorted(map(str, line_dedup.counted(df, ladder=SMALL).collect())) == want
+
+
 def test_beyond_the_broadcast_limits(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(*r, 3, "at", "clash") for r in rows], SCHEMA)
@@ -108,6 +117,7 @@ def test_probes_hold_every_pair_within_the_threshold(spark):
                 at = (j + 1) * len(b) // (k + 1)
                 b[at : at + random.randint(0, 1)] = random.choice(["", "X"])
             lines.append("".join(b))
-    want = expected([(i, t) for i, t in enumerate(lines)], spark, line_dedup.LADDER, False)
-    got = line_dedup.counted(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    ladder = ((0, 2), (360, 3), (480, 4))
+    want = expected([(i, t) for i, t in enumerate(lines)], spark, ladder, False)
+    got = line_dedup.counted(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), ladder=ladder).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == {i: w[3] for i, w in enumerate(want)} and sum(w[3] for w in want) > 40

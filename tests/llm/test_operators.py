@@ -83,8 +83,8 @@ def test_documents_of_shared_buckets_join_on_rare_shingles(spark, percent):
     assert got == want - {(0, 2), (1, 4)} and len(want) > 100
 
 
-@pytest.mark.parametrize("crowd", [16, 0])
-def test_line_join(spark, crowd):
+@pytest.mark.parametrize("crowd, crowds", [(16, 1024), (0, 1024), (0, 0)])
+def test_line_join(spark, crowd, crowds):
     random.seed(3)
     rows = []
     base = "".join(random.choice("abcé ") for _ in range(30))
@@ -106,7 +106,7 @@ def test_line_join(spark, crowd):
     both = one.join(one.select(F.col("h").alias("hb"), F.col("n").alias("nb"), F.col("line").alias("other")), F.expr("nb - n between 0 and 2 and (n < nb or h < hb)"))
     want = both.filter(F.levenshtein("line", "other") <= 2).count()
     ladder = ((0, 2),)
-    found = line_dedup.candidates(line_dedup.members(lines, ladder, 8, line_dedup.shared_keys(lines, ladder, 8)), ladder, crowd)
+    found = line_dedup.candidates(line_dedup.members(lines, ladder, 8, line_dedup.shared_keys(lines, ladder, 8)), ladder, crowd, crowds)
     texts = one.select(F.col("h").alias("ha"), F.col("line").alias("la")), one.select(F.col("h").alias("hb"), F.col("line").alias("lb"))
     assert line_dedup.within(found.join(texts[0], "ha").join(texts[1], "hb"), "la", "lb", 2).count() == want > 30
 
