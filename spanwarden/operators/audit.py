@@ -36,9 +36,9 @@ def with_rules(findings: DataFrame) -> DataFrame:
     df = findings.join(F.broadcast(spec), "rule_id", "left")  # 51 rows
     family, severity, confidence, clean, message = FALLBACK
     return df.select(
-        *findings.columns[: findings.columns.index("clean")], *[c for c in findings.columns[findings.columns.index("clean") + 1 :]],
-        F.coalesce("clean", "rule_clean", F.lit(clean)).alias("clean"), F.coalesce("family", F.lit(family)).alias("family"), F.coalesce("severity", F.lit(severity)).alias("severity"),
-        F.coalesce("confidence", F.lit(confidence)).alias("confidence"), F.coalesce("description", F.lit(message)).alias("message"),
+        *[c for c in findings.columns if c not in ("clean", "message")],
+        F.coalesce(F.nullif("clean", F.lit("")), "rule_clean", F.lit(clean)).alias("clean"), F.coalesce("family", F.lit(family)).alias("family"), F.coalesce("severity", F.lit(severity)).alias("severity"),
+        F.coalesce("confidence", F.lit(confidence)).alias("confidence"), F.coalesce(*[F.nullif(F.col("message"), F.lit("")) for _ in range("message" in findings.columns)], "description", F.lit(message)).alias("message"),
     )
 
 
@@ -83,28 +83,69 @@ def percent(findings: DataFrame, scanned: int) -> DataFrame:
     return total.crossJoin(files).select(F.when(F.col("files") == 0, 0).otherwise(F.least(F.lit(100), F.col("points") + density)).cast("long").alias("percent"))  # one row each
 
 
-def votes(findings: DataFrame) -> DataFrame:
-    """(agent, hard, soft): what findings say of the tool that was used."""
+def agent() -> Column:
+    """The agent that a finding names: the first of the list that its evidence, message and rule hold."""
     text = F.concat_ws(" ", "evidence", "message", "rule_id")
-    agent = F.lit(None).cast("string")
+    out = F.lit(None).cast("string")
     for name, _, p in reversed(AGENTS):
-        agent = F.when(text.rlike(re2(rf"(?i)\b({p})\b")), name).otherwise(agent)
+        out = F.when(text.rlike(re2(rf"(?i)\b({p})\b")), name).otherwise(out)
+    return out
+
+
+def _voting(findings: DataFrame) -> DataFrame:
     hard = F.col("family").isin("stamp", "c2pa", "metadata")
-    df = findings.filter(~F.col("rule_id").startswith("statwm.")).withColumn("agent", agent).filter("agent is not null").filter(hard | (F.col("family") == "heuristic"))
-    points = F.when(hard, F.when(F.col("confidence") == "certain", 10).otherwise(3)).otherwise(F.when(F.col("rule_id").startswith("origin.named."), 4).otherwise(2))
-    return df.groupBy("agent").agg(F.sum(F.when(hard, points).otherwise(0)).cast("long").alias("hard"), F.sum(F.when(hard, 0).otherwise(points)).cast("long").alias("soft"))
+    return findings.filter(~F.col("rule_id").startswith("statwm.")).filter(hard | (F.col("family") == "heuristic")).withColumn("hard", hard).withColumn("agent", agent()).filter("agent is not null")
+
+
+def votes(findings: DataFrame) -> DataFrame:
+    """(agent, hard, soft): what findings say of the tool that was used."""
+    points = F.when(F.col("hard"), F.when(F.col("confidence") == "certain", 10).otherwise(3)).otherwise(F.when(F.col("rule_id").startswith("origin.named."), 4).otherwise(2))
+    return _voting(findings).groupBy("agent").agg(F.sum(F.when(F.col("hard"), points).otherwise(0)).cast("long").alias("hard"), F.sum(F.when(F.col("hard"), 0).otherwise(points)).cast("long").alias("soft"))
 
 
 def picked(findings: DataFrame) -> DataFrame:
-    """(agent, label): the agent of most votes, hard ones first; the label names all that got any."""
+    """One row (agent, label, confidence): the agent of most votes, hard ones first; the label names all that got any.
+
+    Without votes marks alone tell an unknown agent, mentions a generic one.
+    """
     order = F.lit(len(AGENTS))
     label = F.col("agent")
     for i, (name, title, _) in enumerate(AGENTS):
         order, label = F.when(F.col("agent") == name, i).otherwise(order), F.when(F.col("agent") == name, title).otherwise(label)
-    v = votes(findings).withColumn("any_hard", F.max("hard").over(W.partitionBy(F.lit(1))) > 0)  # one row an agent
-    v = v.withColumn("n", F.when(F.col("any_hard"), F.col("hard")).otherwise(F.col("soft"))).filter("n > 0").withColumn("o", order).withColumn("label", label)
-    all_ = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "o", "agent", "label")))
-    return v.agg(all_.alias("all")).filter(F.size("all") > 0).select(F.col("all")[0]["agent"].alias("agent"), F.array_join(F.transform("all", lambda x: x["label"]), ", ").alias("label"))
+    v = votes(findings).withColumn("o", order).withColumn("label", label)
+    rank = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct((-F.col(c)).alias("n"), "o", "agent", "label"))))
+    v = v.agg(rank("hard").alias("hard"), rank("soft").alias("soft"))  # a row an agent at most
+    own = findings.filter(~F.col("rule_id").startswith("statwm."))
+    marks = own.agg(F.coalesce(F.bool_or(F.col("family").isin("unicode", "c2pa", "stamp", "homoglyph", "ast", "metadata")), F.lit(False)).alias("forensic"), F.coalesce(F.bool_or(F.col("family") == "heuristic"), F.lit(False)).alias("heuristic"))
+    every = F.when(F.size("hard") > 0, F.col("hard")).otherwise(F.col("soft"))
+    df = v.crossJoin(marks).withColumn("all", every)  # one row each
+    named = F.size("all") > 0
+    agent_ = F.when(named, F.col("all")[0]["agent"]).when(F.col("forensic"), "unknown").when(F.col("heuristic"), "generic").otherwise(F.lit("none"))
+    label_ = F.when(named, F.array_join(F.transform("all", lambda x: x["label"]), ", ")).when(F.col("forensic"), "unknown (forensic marks)").when(F.col("heuristic"), "likely AI-generated").otherwise(F.lit("none"))
+    sure = F.when(F.size("hard") > 0, "likely").when(named, "heuristic").when(F.col("forensic"), "likely").when(F.col("heuristic"), "heuristic").otherwise(F.lit("none"))
+    return df.select(agent_.alias("agent"), label_.alias("label"), sure.alias("confidence"))
+
+
+def told(findings: DataFrame, most: int = 5) -> DataFrame:
+    """(place, evidence): the first findings that name an agent, in order, as rule and evidence (80 bytes at most)."""
+    shown = F.regexp_replace("evidence", r"^[\t\n\x0b\f\r \x85\xa0]+|[\t\n\x0b\f\r \x85\xa0]+\z", "")
+    shown = F.when(F.octet_length(shown) > 80, F.concat(detect.clipped(shown, 77), F.lit("..."))).otherwise(shown)
+    text = F.when(F.coalesce(F.col("evidence"), F.lit("")) != "", F.concat("rule_id", F.lit(": "), shown)).otherwise(F.col("rule_id"))
+    first = _voting(findings).orderBy("path", "start", F.desc("end"), "rule_id").limit(most)  # the feature is a list of a few
+    w = W.partitionBy(F.lit(1)).orderBy("path", "start", F.desc("end"), "rule_id")
+    return first.select(F.row_number().over(w).cast("long").alias("place"), text.alias("evidence"))
+
+
+def ordered(findings: DataFrame) -> DataFrame:
+    """Findings by file, start, longest first, rule."""
+    return findings.orderBy("path", "start", F.desc("end"), "rule_id")
+
+
+def layer_counts(findings: DataFrame) -> DataFrame:
+    """(layer, hits) of the detectors' raw hits: A counts marks in text, Files those of containers; mentions are in neither."""
+    hits = lambda *names: F.count_if(F.col("detector").isin(*names)).alias("n")
+    sums = findings.agg(hits("unicode", "stamp", "astgo", "c2pa").alias("a"), hits("container").alias("files"))
+    return sums.select(F.inline(F.array(F.struct(F.lit("A").alias("layer"), F.col("a").alias("n")), F.struct(F.lit("Files").alias("layer"), F.col("files").alias("n")))))
 
 
 def detector_hits(findings: DataFrame) -> DataFrame:
@@ -168,16 +209,41 @@ def redacted(text: Column) -> Column:
     return text
 
 
-def escaped(text: Column) -> Column:
-    """A snippet: tabs and invisible code points of the basic plane spelled out, 120 code points at most."""
-    for c in (*detect.INVISIBLE.values(), "\u202a", "\u202b", "\u202c", "\u202d", "\u202e", "\u2066", "\u2067", "\u2068", "\u2069"):
-        text = F.replace(text, F.lit(c), F.lit(f"<U+{ord(c):04X}>"))
-    return F.replace(text, F.lit("\t"), F.lit("\\t"))
+#: What a snippet spells out: format characters, selectors, tags, and spaces that look like others.
+UNSEEN = "\\p{Cf}\u200b-\u200f\u2060\ufeff\u00ad\u00a0\u202f\u2002\u2003\u2007\u2009\u200a\u202a-\u202e\u2066-\u2069\ufe00-\ufe0f\U000e0100-\U000e01ef\U000e0001\U000e0020-\U000e007f\u0890\u0891"
+
+
+def snippet(line: Column, most: int = 120) -> Column:
+    """A line as a report shows it: ``most`` code points, tabs and what can't be seen spelled out, no space at the end."""
+    head = F.substring(line, 1, most)
+    code = lambda c: F.hex(F.encode(c, "UTF-32"))
+    spelled = lambda c: F.concat(F.lit("<U+"), F.when(code(c).startswith("0000"), F.substring(code(c), 5, 4)).otherwise(F.substring(code(c), 3, 6)), F.lit(">"))
+    each = F.transform(F.split(head, ""), lambda c: F.when(c == "\t", "\\t").when(c.rlike(f"^[{UNSEEN}]\\z"), spelled(c)).otherwise(c))
+    head = F.when(head.rlike(f"[\t{UNSEEN}]"), F.array_join(each, "")).otherwise(head)
+    return F.regexp_replace(F.when(F.length(line) > most, F.concat(head, F.lit("..."))).otherwise(head), "[ \\t]+\\z", "")
+
+
+def around(text: Column, start: Column, end: Column) -> Column:
+    """The line (or lines) that a byte span stands in."""
+    data = text.cast("binary")
+    end = F.when(end < start, start).otherwise(end)
+    before = F.substring_index(F.substr(data, F.lit(1), start.cast("int")).cast("string"), "\n", -1)
+    span = F.substr(data, start.cast("int") + 1, (end - start).cast("int")).cast("string")
+    after = F.regexp_extract(F.substr(data, end.cast("int") + 1, F.octet_length(data)).cast("string"), r"^[^\n\r]*", 0)
+    return F.concat(before, span, after)
+
+
+def symbol(evidence: Column) -> Column:
+    """Evidence that looks like a symbol: short and without spaces; else null."""
+    return F.when((F.octet_length(evidence) <= 64) & (evidence != "") & ~evidence.rlike(r"[ \t\n]"), evidence)
 
 
-def snippet(line: Column) -> Column:
-    cut = F.when(F.length(line) > 120, F.concat(F.substring(line, 1, 120), F.lit("..."))).otherwise(line)
-    return F.regexp_replace(escaped(cut), "[ \\t]+\\z", "")
+def enriched(findings: DataFrame, units: DataFrame) -> DataFrame:
+    """Findings with snippet and symbol: the line they stand in, or the evidence where it isn't text."""
+    texts = units.select(F.col("path").alias("u_path"), F.col("text").alias("u_text"), detect.payload(F.col("path"), F.col("text")).alias("u_plain"))
+    df = findings.join(texts, F.col("path") == F.col("u_path"), "left")
+    shown = F.when(F.col("u_plain"), snippet(around(F.col("u_text"), F.col("start"), F.col("end")))).otherwise(F.col("evidence"))
+    return df.select(*findings.columns, shown.alias("snippet"), symbol(F.col("evidence")).alias("symbol"))
 
 
 def bigrams(text: Column) -> Column:
@@ -215,8 +281,7 @@ def long_comment(region: Column) -> Column:
 def sarif_rows(findings: DataFrame) -> DataFrame:
     """(path, rule_id, level, byte_offset, byte_length, message)."""
     level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
-    symbol = F.when((F.octet_length("evidence") <= 64) & (F.col("evidence") != "") & ~F.col("evidence").rlike(r"[ \t\n]"), F.concat(F.lit("symbol "), "evidence"))
-    return findings.select("path", "rule_id", level.alias("level"), F.col("start").alias("byte_offset"), (F.col("end") - F.col("start")).alias("byte_length"), F.concat_ws(" \u00b7 ", symbol, "message").alias("message"))
+    return findings.select("path", "rule_id", level.alias("level"), F.col("start").alias("byte_offset"), (F.col("end") - F.col("start")).alias("byte_length"), F.concat_ws(" \u00b7 ", F.concat(F.lit("symbol "), symbol(F.col("evidence"))), "message").alias("message"))
 
 
 def sarif(findings: DataFrame, version: str = "dev") -> DataFrame:

@@ -17,11 +17,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from spanwarden.operators.detect import GENERATOR, NEEDLES
+from spanwarden.operators.detect import AI_NEEDLES, C2PA_NEEDLES, GENERATOR, META_NAME
 
-C2PA_NEEDLES = ("c2pa", "jumb", "c2ma", "contentcredentials", "contentauth", "cai:")
 ZIP_LIMIT = 128 << 20
-_GENERATOR = re.compile(GENERATOR.encode())
+_GENERATOR, _META = re.compile(GENERATOR.encode()), re.compile(META_NAME.encode())
 _PACKET = re.compile(rb"(?is)<\?xpacket begin.*?<\?xpacket end[^?]*\?>")
 _INFO = re.compile(rb"(?i)/(Producer|Creator)\s*\((?:\\.|[^\\)])*\)")
 
@@ -36,15 +35,16 @@ def png(data: bytes) -> tuple[str, bytes] | None:
     if not data.startswith(head):
         return None
     out, at, labels = [head], 8, []
-    structural = (b"IHDR", b"PLTE", b"IDAT", b"IEND", b"tRNS", b"cHRM", b"gAMA", b"iCCP", b"sBIT", b"sRGB", b"bKGD", b"hIST", b"pHYs", b"sPLT", b"tIME")
+    # Chunks that stay whatever they hold.
+    structural = (b"IHDR", b"IDAT", b"IEND", b"PLTE", b"tRNS", b"gAMA", b"pHYs", b"sRGB", b"cHRM", b"iCCP")
     while at + 12 <= len(data):
         n, name = struct.unpack_from(">I4s", data, at)
         if at + 12 + n > len(data):
             return None
         body = data[at + 8 : at + 8 + n]
         drop = name in (b"caBX", b"juMB", b"jumb") or name[:2] == b"c2"
-        drop = drop or (name in (b"eXIf", b"tEXt", b"zTXt", b"iTXt") and looks(body, NEEDLES))
-        drop = drop or (name not in structural and name not in (b"eXIf", b"tEXt", b"zTXt", b"iTXt") and looks(body, C2PA_NEEDLES))
+        drop = drop or (name in (b"eXIf", b"tEXt", b"zTXt", b"iTXt") and looks(body, AI_NEEDLES))
+        drop = drop or (name not in structural and name not in (b"eXIf", b"tEXt", b"zTXt", b"iTXt") and looks(name + body, C2PA_NEEDLES))
         if drop:
             labels.append(name.decode("latin-1"))
         else:
@@ -71,7 +71,7 @@ def jpeg(data: bytes) -> tuple[str, bytes] | None:
             return None
         body = data[at + 4 : at + 2 + n]
         app = 0xE0 <= marker <= 0xEF
-        if marker == 0xEB or ((app or marker == 0xFE) and looks(body, NEEDLES)):
+        if marker == 0xEB or ((app or marker == 0xFE) and looks(body, AI_NEEDLES)):
             labels.append(f"APP{marker - 0xE0}" if app else "COM")
         else:
             out.append(data[at : at + 2 + n])
@@ -88,7 +88,7 @@ def webp(data: bytes) -> tuple[str, bytes] | None:
         if at + 8 + n > len(data):
             return None
         body = data[at + 8 : at + 8 + n]
-        if name.lower() == b"c2pa" or (name in (b"EXIF", b"XMP ", b"ICCP") and looks(body, NEEDLES)):
+        if name.lower() == b"c2pa" or (name in (b"EXIF", b"XMP ", b"ICCP") and looks(body, AI_NEEDLES)):
             labels.append(name.decode("latin-1").strip())
         else:
             chunks.append([name, body])
@@ -114,13 +114,13 @@ def pdf(data: bytes) -> tuple[str, bytes] | None:
     labels: list[str] = []
 
     def packet(m: re.Match) -> bytes:
-        if looks(m[0], NEEDLES):
+        if looks(m[0], AI_NEEDLES):
             labels.append("XMP")
             return b" " * len(m[0])
         return m[0]
 
     def info(m: re.Match) -> bytes:
-        if _GENERATOR.search(m[0]) or looks(m[0], NEEDLES):
+        if _GENERATOR.search(m[0]) or looks(m[0], AI_NEEDLES):
             labels.append(m[1].decode())
             head = m[0].index(b"(") + 1
             return m[0][:head] + b" " * (len(m[0]) - head - 1) + b")"
@@ -159,7 +159,7 @@ def _field(body: bytes, name: str, labels: list[str], only_ai: bool = True) -> b
     pattern = re.compile(rf"(?is)(<{name}\b[^>]*>)(.*?)(</{name}\s*>)".encode())
 
     def scrub(m: re.Match) -> bytes:
-        if only_ai and not (_GENERATOR.search(m[2]) or looks(m[2], NEEDLES)) or not m[2]:
+        if only_ai and not (_GENERATOR.search(m[2]) or looks(m[2], AI_NEEDLES)) or not m[2]:
             return m[0]
         labels.append(name)
         return m[1] + m[3]
@@ -173,10 +173,10 @@ def docx(data: bytes) -> tuple[str, bytes] | None:
         return None
     out = {}
     for name, body in parts.items():
-        if name.startswith("customXml/") or (name == "docProps/custom.xml" and looks(body, NEEDLES)):
+        if name.startswith("customXml/") or (name == "docProps/custom.xml" and (looks(body, AI_NEEDLES) or _META.search(body))):
             labels.append(name)
             continue
-        if name in ("docProps/core.xml", "docProps/app.xml"):
+        if name.startswith("docProps/"):
             for field in ("dc:creator", "cp:lastModifiedBy", "Application", "AppVersion"):
                 body = _field(body, field, labels)
         out[name] = body
@@ -193,7 +193,7 @@ def odt(data: bytes) -> tuple[str, bytes] | None:
     for name, body in parts.items():
         if name == "meta.xml":
             body = _field(_field(body, "meta:generator", labels, only_ai=False), "dc:creator", labels)
-        elif name not in ("content.xml", "styles.xml", "mimetype", "META-INF/manifest.xml") and looks(body, NEEDLES):
+        elif name not in ("content.xml", "styles.xml", "mimetype", "META-INF/manifest.xml") and looks(body, AI_NEEDLES):
             labels.append(name)
             continue
         out[name] = body

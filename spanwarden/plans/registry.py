@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanwarden.functions.catalog import FALLBACK, rules
-from spanwarden.operators import audit, binary, detect, files
+from spanwarden.operators import audit, binary, detect, files, rewriting
+from spanwarden.operators import scan as scanning
 from spanwarden.plans.oracles import ORACLES
 from spanwarden.plans.shipping import ship
 from spanwarden.sources.marked import marked_documents, marked_pages
@@ -36,7 +37,7 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = docs(spark, sf_dir).unionByName(pages(spark, sf_dir))
-    found = audit.with_rules(detect.detect(both, html=True))
+    found = audit.with_rules(detect.detect(both, containers=True))
     return found.groupBy("rule_id", "family", "severity").agg(F.count("*").alias("hits"), F.count_distinct("path").alias("files"))
 
 
@@ -117,7 +118,107 @@ def detector_hits(spark, sf_dir):
 
 
 def layer_counts(spark, sf_dir):
-    return findings(spark, sf_dir).groupBy(audit.layer().alias("layer")).agg(F.count("*").alias("n"))
+    """Raw hits of detectors by layer."""
+    return audit.layer_counts(detect.detect(docs(spark, sf_dir), containers=True))
+
+
+def layer_tags(spark, sf_dir):
+    """Merged findings by the layer that their rule tells."""
+    found = audit.merged(audit.with_rules(detect.detect(docs(spark, sf_dir), containers=True)))
+    return found.groupBy(audit.layer().alias("layer")).agg(F.count("*").alias("n"))
+
+
+def container_dispatch(spark, sf_dir):
+    both = docs(spark, sf_dir).unionByName(pages(spark, sf_dir))
+    return detect.container_marks(both).select(*COLUMNS, "replacement")
+
+
+def score_evidence(spark, sf_dir):
+    return audit.told(findings(spark, sf_dir))
+
+
+def score_agent_fallback(spark, sf_dir):
+    """Agents where nothing names one: by marks alone, by mentions' family alone, by nothing."""
+    found = findings(spark, sf_dir)
+    parts = (("marks", found.filter("family = 'unicode'")), ("mentions", found.filter("rule_id = 'origin.style.boilerplate'")), ("nothing", found.filter("false")))
+    return reduce(DataFrame.unionByName, [audit.picked(df).withColumn("given", F.lit(name)) for name, df in parts])
+
+
+def _binary_units(spark, sf_dir):
+    df = marked_documents(spark, sf_dir)
+    data = F.encode("text", "UTF-8")
+    data = F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit(b"\x00"), data)).when(F.col("doc_id") % 7 == 3, F.concat(F.lit(b"\xef\xbb\xbf"), data)).when(F.col("doc_id") % 7 == 4, F.concat(F.lit(b"\xc3("), data)).otherwise(data)
+    return df.select("path", data.alias("content"))
+
+
+def decode_units(spark, sf_dir):
+    return files.decoded(_binary_units(spark, sf_dir)).select("path", "kind", "language", "charset", "has_bom", "skipped")
+
+
+def file_counters(spark, sf_dir):
+    return files.counters(files.decoded(_binary_units(spark, sf_dir)))
+
+
+def file_counters_forced(spark, sf_dir):
+    return files.counters(files.decoded(_binary_units(spark, sf_dir), force_kind="container", force_text=True))
+
+
+def finding_snippets(spark, sf_dir):
+    units = docs(spark, sf_dir)
+    return audit.enriched(findings(spark, sf_dir), units).select("path", "rule_id", "start", "end", "snippet", "symbol")
+
+
+def finding_order(spark, sf_dir):
+    w = W.partitionBy("path").orderBy("start", F.desc("end"), "rule_id")
+    return findings(spark, sf_dir).select("path", "start", "end", "rule_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+def kind_suffix(spark, sf_dir):
+    return guess_kind(spark, sf_dir).select("page_id", files.suffix_of(F.col("kind")).alias("suffix"))
+
+
+def resolve_url(spark, sf_dir):
+    ship(spark)
+    reference = F.expr("case page_id % 4 when 0 then '/a/b?q=1' when 1 then 'https://x.example/y' when 2 then '' else '#part' end")
+    base = F.concat(F.lit("https://h.example/dir/p"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", files.resolved(base, reference).alias("resolved"))
+
+
+def public_addresses(spark, sf_dir):
+    ship(spark)
+    heads = ("10.1", "172.16", "192.168", "127.0", "169.254", "224.0", "8.8", "100.64")
+    address = reduce(lambda acc, x: F.when(F.col("page_id") % 9 == x[0], F.concat(F.lit(x[1] + ".0."), (F.col("page_id") % 200 + 1).cast("string"))).otherwise(acc), enumerate(heads), F.lit("0.0.0.0"))
+    return table(spark, sf_dir, "pages").select("page_id", files.is_public(address).alias("public"))
+
+
+def comment_bodies(spark, sf_dir):
+    return rewriting.comment_texts(docs(spark, sf_dir), 20).select("path", F.col("number").cast("long").alias("number"), "body")
+
+
+def layerb_plan(spark, sf_dir):
+    return rewriting.planned(docs(spark, sf_dir), findings(spark, sf_dir))
+
+
+def model_answers(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"rewrite": "'), word, F.lit('"}'))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```text\n"), word, F.lit("\n```"))).otherwise(F.concat(F.lit("  "), word, F.lit(" ")))
+    return c.select("conv_id", "turn", rewriting.answer(reply).alias("answer"))
+
+
+def _go_units(spark, sf_dir):
+    """A Go source for each document: an identifier of mixed script beside its plain name, a mark in a string and in code."""
+    body = F.concat(
+        F.lit("// Package p holds "), F.col("doc_id").cast("string"), F.lit("\npackage p\n\n//go:generate stringer\nvar s = \"hi\u200b\" // plain\nvar t = `\n# Generated with Claude\n`\n// Generated with Claude\nfunc sc\u0430n() { scan2 := sc\u0430n; _ = scan2 }\nfunc "),
+        F.when(F.col("doc_id") % 2 == 0, "scan").otherwise(F.lit("other")), F.lit("() {\u200b}\n"), F.when(F.col("doc_id") % 5 == 0, "}").otherwise(F.lit("")),
+    )
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("go/"), F.col("doc_id").cast("string"), F.lit(".go")).alias("path"), body.alias("text"))
+
+
+def go_findings(spark, sf_dir):
+    """Identifiers, protected marks and stamps of Go sources; those with a bracket too many are texts like others."""
+    found = scanning.scan(_go_units(spark, sf_dir)).filter("detector in ('unicode', 'stamp', 'astgo')")
+    return found.groupBy("rule_id", "evidence", "replacement", "clean", "protected", "reason").agg(F.count("*").alias("n"))
 
 
 def confidence_histogram(spark, sf_dir):
@@ -126,9 +227,10 @@ def confidence_histogram(spark, sf_dir):
 
 
 def fail_on(spark, sf_dir):
-    df = findings(spark, sf_dir).filter("family = 'heuristic'")
+    df = findings(spark, sf_dir)
     names = ("none", "any", "certain", "likely", "heuristic", "unheard")
-    return df.agg(*[audit.fails(df, n).alias(f"fail_{n}") for n in names])
+    family = F.col("family")
+    return df.groupBy(family).agg(*[audit.fails(df, n).alias(f"fail_{n}") for n in names])
 
 
 def score_family_caps(spark, sf_dir):
@@ -168,7 +270,8 @@ def redact_secrets(spark, sf_dir):
 
 
 def snippet_escape(spark, sf_dir):
-    return docs(spark, sf_dir).select("path", audit.snippet(F.split("text", "\n", -1)[0]).alias("snippet"))
+    lines = F.posexplode(F.split("text", "\n", -1)).alias("number", "line")
+    return docs(spark, sf_dir).select("path", lines).select("path", F.col("number").cast("long").alias("number"), audit.snippet(F.col("line")).alias("snippet")).filter(F.contains("snippet", F.lit("<U+")) | F.contains("snippet", F.lit("\\t")))
 
 
 def layerb_survey(spark, sf_dir):
@@ -249,4 +352,5 @@ QUERIES = {
     "snippet_escape": snippet_escape, "layerb_survey": layerb_survey, "lexical_divergence": lexical_divergence, "select_candidate": select_candidate, "guess_kind": guess_kind,
     "origin_allowed": origin_allowed, "parse_sitemap": parse_sitemap, "sarif_rows": sarif_rows, "aggressive_clean": aggressive_clean, "binary_metadata": binary_metadata,
     "nfkc": nfkc, "mixed_script": mixed_script,
+    "layer_tags": layer_tags, "container_dispatch": container_dispatch, "score_evidence": score_evidence, "score_agent_fallback": score_agent_fallback, "decode_units": decode_units, "file_counters": file_counters, "file_counters_forced": file_counters_forced, "finding_snippets": finding_snippets, "finding_order": finding_order, "kind_suffix": kind_suffix, "resolve_url": resolve_url, "public_addresses": public_addresses, "comment_bodies": comment_bodies, "layerb_plan": layerb_plan, "model_answers": model_answers, "go_findings": go_findings,
 }
