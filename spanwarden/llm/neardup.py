@@ -40,6 +40,8 @@ PERMUTATIONS = 120
 BAND = 3
 #: Ids of this many documents are broadcast (8 bytes each) rather than texts shuffled.
 BROADCAST_IDS = 500_000
+#: Keys of shared buckets and shingles are as many as documents, so only few are broadcast.
+BROADCAST_KEYS = 10_000
 _SEED = X.mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=X.U64) * X.U64(0xA0761D6478BD642F))
 _FLIP = (_SEED[:PERMUTATIONS] >> X.U64(32)).astype(np.uint32)
 _TIMES = (_SEED[PERMUTATIONS:] >> X.U64(32)).astype(np.uint32) | np.uint32(1)
@@ -138,7 +140,7 @@ def _joined(apart: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -
     own = cut(apart.join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("n", F.size("shingles").cast("long")))
     tokens = own.select("rep", F.explode("shingles").alias("token"))
     shared = cut(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    order = join_small(tokens, shared, ["token"], shared.count(), "inner", BROADCAST_IDS).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
+    order = join_small(tokens, shared, ["token"], shared.count(), "inner", BROADCAST_KEYS).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
     # shingles of one set alone come before all others and meet nothing
     first = order.join(own.select("rep", "component", "n"), "rep").withColumn("alone", F.col("n") - F.size("order"))
     probed = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
@@ -166,7 +168,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = single.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
 
     full = cut(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    members = cut(join_small(every, full, ["key"], n_keys := full.count(), "inner", BROADCAST_IDS).distinct())
+    members = cut(join_small(every, full, ["key"], n_keys := full.count(), "inner", BROADCAST_KEYS).distinct())
     ids = members.groupBy("rep").agg(F.sum("c").alias("score"))
     ids = cut(ids)
     wanted = ids.select(F.col("rep").alias("doc_id"))
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     scored = members.join(ids, "rep")
     centre = scored.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("rep")).alias("r"), F.col("n").alias("m"))).alias("top"))
-    stars = join_small(members, centre, ["key"], n_keys, "inner", BROADCAST_IDS).withColumn("a", -F.col("top.r")).withColumn("m", F.col("top.m"))
+    stars = join_small(members, centre, ["key"], n_keys, "inner", BROADCAST_KEYS).withColumn("a", -F.col("top.r")).withColumn("m", F.col("top.m"))
     stars = cut(stars.filter((F.col("a") != F.col("rep")) & _alike("n", "m", percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = cut(_linked(stars, sets, percent))
     part = cut(components(links, "a", "b"))
@@ -183,7 +185,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = cut(ids.select("rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
     in_key = members.join(whole, "rep")
     split = in_key.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = cut(join_small(in_key.select("key", "rep", "component"), split, ["key"], n_keys, "inner", BROADCAST_IDS).select("rep", "component").distinct())
+    apart = cut(join_small(in_key.select("key", "rep", "component"), split, ["key"], n_keys, "inner", BROADCAST_KEYS).select("rep", "component").distinct())
     more = cut(_joined(apart, sets, stars, percent))
     if not more.isEmpty():
         part = cut(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
