@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: DuckDB has no sketches or edit join of this kind: tests hold run() against a brute-force version.
+#: DuckDB has no sketches or edit join of this kind; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -10,8 +10,8 @@ they have), which ``unescaped`` takes away again, so the turns can be read back
 mask covers the assistants' texts, without markers.
 
 Defined results: a null text or role is empty; turns are ordered by turn, role, text, a null turn
-first; repeated rows stay; a null conv_id is a conversation of its own; extra columns are ignored.
-One conversation is one row and must fit one.
+first; repeated rows stay; a null conv_id is a conversation of its own; an empty table gives an empty one;
+extra columns are ignored. One conversation is one row and must fit one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the sample turns margins into scores.
 The fit takes a bounded sample (``SAMPLE`` rows, in one task of an executor); scoring covers every
 whole text in one narrow pass. Defined results: null and empty texts get the score of a text
 without features; repeated rows score alike; an empty table scores nothing; without labels of both
-classes every score is the share of label 1 (or 0.5).
+classes every score is the share of label 1 (or 0.5); texts of any length are read whole; extra columns
+pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwarden.llm import words as X
-from spanwarden.llm.common import quoted
+from spanwarden.llm.common import fresh, quoted
 from spanwarden.llm.sampling import labelled, remainder
 
 SAMPLE = 10_000
@@ -188,8 +189,9 @@ def _scored(it: Iterator[pa.RecordBatch], model: dict, text: str, keep: list[str
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Columns ``keep`` of docs with the score."""
-    keep = [c for c in docs.columns if c != name] if keep is None else keep
+    """Columns ``keep`` of docs with the score; where the name is taken it gets an underscore."""
+    keep = docs.columns if keep is None else keep
+    name = fresh(name, keep)
     rows = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, text])])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(partial(_scored, model=model, text=text, keep=keep, score=name), schema)

@@ -9,7 +9,9 @@ its language's merged sketch, a rare language the corpus's. The thresholds are t
 documents by language and source.
 
 Defined results: a null or empty text has no words, hence fails the base rule; null languages and
-sources are groups of their own; repeated rows are judged each; extra columns pass through.
+sources are groups of their own; repeated rows are judged each; a value on a threshold passes; an empty
+table gives an empty one; texts of any length are counted whole; extra columns pass through, and added
+columns whose names are taken get an underscore.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ RATIOS = {
     "word_length": ("word_chars", "n_words", 100, 40, True),
 }
 FENCE = 6
+#: Documents that a group must have for thresholds of its own.
 MIN_GROUP = 200
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20

@@ -83,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_pii, op5_toxicity, op6_line_dedup, op7_token_shards, op8_decontamination, op9_quality_rules, op10_near_duplicates, pipeline)
 }
 
-#: Where SQL can't express an operator (sketches, sampled fits, edit joins, token files), tests hold
+#: Where SQL can't express an operator (sketches, sampled fits, edit joins, token files), tests/llm hold
 #: it against brute force instead.
 ORACLES: dict[str, str] = {
     "op2_chat": r"""

@@ -6,10 +6,12 @@ their log-odds of toxic against other labelled texts; hits inside exception phra
 with its neighbour that clean texts hold more often than toxic ones) don't count. The sum of weights
 is normalised by the logarithm of the length, and a logistic curve gives the score.
 
-Lexicon, exceptions and curve are learned from a bounded sample (``SAMPLE`` labelled rows); scoring
-covers every whole text in one narrow pass. Defined results: null and empty texts have no hits and
-get the curve's score of none; repeated rows score alike; without labels of both classes every score
-is the share of label 1 (or 0.5).
+Lexicon, exceptions and curve are learned from a bounded sample (``SAMPLE`` labelled rows), whose words
+bound the lexicon; scoring covers every whole text in one narrow pass. Entries are word beginnings of
+``SHORTEST`` to ``LONGEST`` letters and whole words of any length. Defined results: null and empty texts
+have no hits and get the curve's score of none; repeated rows score alike; without labels of both classes
+every score is the share of label 1 (or 0.5); an empty table scores nothing; of entries as telling the
+shortest stays, of equal ones at a word the first found; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanwarden.llm.common import quoted
+from spanwarden.llm.common import cut, fresh, quoted
 from spanwarden.llm.quality import _logistic
 from spanwarden.llm.sampling import labelled, remainder
 
 SAMPLE = 40_000
 SHORTEST, LONGEST = 4, 8  # of a word beginning
+#: Toxic sample texts that must hold an entry, and the log-odds from which it is one.
 MIN_HITS = 5
 MIN_WEIGHT = 2.0
-MOST_ENTRIES = 20_000
 #: Letters that look like ASCII ones.
 LOOK_ALIKE = dict(zip("аеорсухіјѕԁɡһкмтвнαβεικνορτυχ", "aeopcyxijsdghkmtbhabeikvoptux", strict=True))
 #: Digits and signs written for letters. 1 stands for i and for l, so these two are one letter.
@@ -132,7 +134,8 @@ def lexicon(counts: DataFrame) -> dict[str, float]:
         return {}
     weight = F.log((F.col("toxic") + 0.5) / float(docs["toxic"])) - F.log((F.col("clean") + 0.5) / float(docs["clean"]))
     rows = sums.filter((F.col("entry") != "") & (F.col("toxic") >= MIN_HITS)).withColumn("weight", weight).filter(F.col("weight") >= MIN_WEIGHT)
-    found = {r["entry"]: r["weight"] for r in rows.orderBy(F.desc("weight"), "entry").limit(MOST_ENTRIES).collect()}
+    # no more than the sample's words
+    found = {r["entry"]: r["weight"] for r in rows.collect()}
     out: dict[str, float] = {}
     for k in sorted(found, key=lambda k: (len(k), k)):
         if not any(out.get(k[:i], -9.0) >= found[k] - 1.0 for i in range(SHORTEST + 1, len(k))):
@@ -159,10 +162,10 @@ def _totals(it: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> dict:
-    rows = labelled(docs, labels, label, folds, held_out, sample)
+    rows = cut(labelled(docs, labels, label, folds, held_out, sample))  # read three times
     entries = lexicon(rows.mapInArrow(_counted, "entry string, toxic long, clean long"))
     phrases = rows.mapInArrow(partial(_judged, entries=entries), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    exceptions = [r["phrase"] for r in phrases.filter("clean >= 3 and clean > 2 * toxic").orderBy(F.desc("clean"), "phrase").limit(MOST_ENTRIES).collect()]
+    exceptions = sorted(r["phrase"] for r in phrases.filter("clean >= 3 and clean > 2 * toxic").collect())
     model = {"lexicon": entries, "exceptions": exceptions}
     table = rows.mapInArrow(partial(_totals, model=model), "x double, label int").toPandas().sort_values(["x", "label"])
     x, y = table["x"].to_numpy(float), table["label"].to_numpy(float)
@@ -185,8 +188,9 @@ def _scored(it: Iterator[pa.RecordBatch], model: str, text: str, keep: list[str]
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """Columns ``keep`` of docs with the score."""
-    keep = [c for c in docs.columns if c != name] if keep is None else keep
+    """Columns ``keep`` of docs with the score; where the name is taken it gets an underscore."""
+    keep = docs.columns if keep is None else keep
+    name = fresh(name, keep)
     rows = docs.select(*[quoted(c) for c in dict.fromkeys([*keep, text])])
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(partial(_scored, model=json.dumps(model), text=text, keep=keep, score=name), schema)
