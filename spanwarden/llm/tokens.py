@@ -10,7 +10,8 @@ Ids are stored as 2 bytes each where all of an entry fit, else 4 (little-endian)
 
 A text is cut where one space stands between two non-space characters, which is always a boundary
 of byte-level pre-tokens, so the pieces' ids are the text's ids; each worker encodes a distinct
-piece once (and forgets all when it holds ``CACHED``). Other white space stays inside pieces.
+piece once (and forgets all when it holds ``CACHED``), many joined by line feeds at a time. Other white
+space stays inside pieces.
 
 Shards lie in the folder that the cluster shares. A task writes under a name of its own and renames
 at the end, so a repeated task leaves the same file. Defined results: null texts are empty and hold
@@ -42,7 +43,9 @@ from spanwarden.llm.common import cut, quoted, shared_path
 
 BLOCK = 64 << 10
 SHARD = 128 << 20
-CACHED = 1_000_000
+CACHED = 2_000_000
+#: Pieces that are encoded as one text.
+JOINED = 64
 END_ID = 2
 #: Parts whose shards' offsets are summed at once.
 PARTS = 1000
@@ -51,12 +54,25 @@ BITS_PER_KEY, PROBES = 10, 7
 _FOOTER = struct.Struct("<QQQQQQ8s")  # index offset and length, filter offset and length, entries, ids
 _UNSAFE = re.compile(r"\s | \s|\x00")
 _BESIDE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", " \v", "\v ", " \f", "\f ", "\x00", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Beside these a line feed is no piece of its own: white space runs are cut as a whole.
+_BESIDE_FEED = ("\n\n", "\n\t", "\t\n", "\n\r", "\r\n", "\n\v", "\v\n", "\n\f", "\f\n")
+#: White space beyond ASCII.
+_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+#: A piece that line feeds around it leave as it is: it holds none, ends with no white space, begins with one space at most.
+_LONE = re.compile(r" ?\S(?:[^\n]*\S)?").fullmatch
 _open: dict[str, Encoder] = {}
 
 
-def unsafe(text: str) -> bool:
-    """Whether a space stands beside other white space (or a text holds what marks the cuts)."""
-    return any(b in text for b in _BESIDE) if text.isascii() else _UNSAFE.search(text) is not None
+def parted(text: str) -> list[str]:
+    """The text in pieces whose ids, one after another, are the text's; whole where a space stands beside other
+    white space (or the text holds what marks the cuts)."""
+    odd = not text.isascii() and _ODD(text) is not None
+    if _UNSAFE.search(text) if odd else any(b in text for b in _BESIDE):
+        return [text]
+    # a line feed between other characters than white space is a piece
+    if "\n" in text and not odd and not any(b in text for b in _BESIDE_FEED):
+        text = text.replace("\n", "\x00\n\x00")
+    return text.replace(" ", "\x00 ").split("\x00")
 
 
 class Encoder:
@@ -68,16 +84,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        # the id that a line feed gets between pieces, if it is one that parts them
+        feed = ids("\n")
+        self.feed = feed[0] if len(feed) == 1 and ids("Ab1\n cd,\nx") == [*ids("Ab1"), *feed, *ids(" cd,"), *feed, *ids("x")] else None
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces are encoded many at once, with line feeds between them, which costs less than one by one."""
+        alone, known = pieces, self.known
+        if self.feed is not None:
+            together = [p for p in pieces if _LONE(p) and "<|" not in p]
+            alone = list(set(pieces).difference(together))
+            for i in range(0, len(together), JOINED * 8):
+                parts = [together[j : j + JOINED] for j in range(i, min(i + JOINED * 8, len(together)), JOINED)]
+                for part, ids in zip(parts, self._encoded(["\n".join(p) for p in parts]), strict=True):
+                    data, start = ids.tobytes(), 0
+                    ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+                    for piece, end in zip(part, ends, strict=True):
+                        known[piece] = data[4 * start : 4 * end]
+                        start = end + 1
+        for i in range(0, len(alone), 2000):
+            part = alone[i : i + 2000]
+            for piece, ids in zip(part, self._encoded(part), strict=True):
+                known[piece] = ids.tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [[t] if unsafe(t) else t.replace(" ", "\x00 ").split("\x00") for t in texts]
+        pieces = [parted(t) for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
-        new = list(set().union(*pieces).difference(self.known))
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            for k, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[k] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list(set().union(*pieces).difference(self.known)))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in pieces]
 

@@ -252,6 +252,18 @@ def test_token_shards(spark, corpus, tmp_path):
     assert len(shards) > 1 and sum(len(s.get(20)) for s in shards) == 1 and not any(s.get(10**9) for s in shards)
 
 
+def test_joined_pieces_have_their_own_ids():
+    public = pytest.importorskip("public_tokenizers")
+    random.seed(12)
+    encode = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    assert encode.feed is not None
+    parts = ["a", "Ab", "'s", "'", "1", ",", ".", "é", "𝒳", "\u00a0", "\u2003", "\t", "\n", "\r", " ", " ", " ", "<|endoftext|>", "<|", "\u0301", "\x1c", "don't", "中"]
+    texts = ["".join(random.choices(parts, k=random.randrange(12))) for _ in range(4000)]
+    got = encode(texts)
+    for t, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 @pytest.mark.parametrize("parts", [1, 1000])
 def test_token_shards_of_missing_and_repeated_keys(spark, tmp_path, monkeypatch, parts):
     public = pytest.importorskip("public_tokenizers")
