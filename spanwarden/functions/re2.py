@@ -1,4 +1,4 @@
-"""RE2 patterns for Java's engine.
+"""RE2 patterns for Java's matcher.
 
 Java and RE2 disagree on case folding of k and s, on what \\b, \\s and . cover, and on $. ``re2``
 rewrites a pattern so that Java matches what RE2 would.

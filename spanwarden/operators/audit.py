@@ -203,6 +203,13 @@ def cleaned(units: DataFrame, findings: DataFrame) -> DataFrame:
     return df.select("path", "text", F.concat(F.col("fold.out"), piece(F.col("fold.at").cast("int"), F.octet_length("data"))).alias("cleaned"))
 
 
+def scrubbed(units: DataFrame, aggressive: bool = False) -> DataFrame:
+    """(path, text, cleaned, removed): texts without invisible marks, and how many went."""
+    found = merged(with_rules(detect.unicode_marks(units, aggressive).withColumn("detector_order", F.lit(0))), aggressive=aggressive)
+    counts = planned(found).select(F.col("path").alias("p"), F.size("spans").alias("removed"))
+    return cleaned(units, found).join(counts, F.col("path") == F.col("p"), "left").select("path", "text", "cleaned", F.coalesce("removed", F.lit(0)).alias("removed"))
+
+
 def redacted(text: Column) -> Column:
     for p in SECRETS:
         text = F.regexp_replace(text, re2(p), "[REDACTED]")

@@ -278,13 +278,15 @@ def sample(kind: str, mark: str) -> bytes:
 
 
 def samples(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(path, content): a file for each document, of six kinds, every other one marked."""
+    """(path, content): a file for each document, of six kinds, with its first words as metadata, every other one marked."""
     kinds = list(READERS)
 
     def build(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf_ in it:
-            ids = pdf_["doc_id"].tolist()
-            yield pd.DataFrame({"path": [f"f/{i}.{kinds[i % 6]}" for i in ids], "content": [sample(kinds[i % 6], "Generated by Claude" if i // 6 % 2 else "by hand") for i in ids]})
-
-    return docs.select("doc_id").mapInPandas(build, "path string, content binary")
+            rows = []
+            for i, text in zip(pdf_["doc_id"].tolist(), pdf_["text"], strict=True):
+                words = "by hand " + "".join(c for c in (text or "")[:200] if c.isascii() and (c.isalpha() or c == " "))
+                rows.append((f"f/{i}.{kinds[i % 6]}", sample(kinds[i % 6], "Generated by Claude " + words if i // 6 % 2 else words)))
+            yield pd.DataFrame(rows, columns=["path", "content"])
 
+    return docs.select("doc_id", "text").mapInPandas(build, "path string, content binary")

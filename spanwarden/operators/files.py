@@ -187,6 +187,18 @@ def endpoint_allowed(url: str, remote: bool = False) -> bool:
     return parts.scheme in ("http", "https") and bool(host) and (remote or host in ("localhost", "::1") or host.startswith("127."))
 
 
+def gzipped(data: Column) -> Column:
+    """Bytes, packed by gzip."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(column: pd.Series) -> pd.Series:
+        import gzip
+
+        return column.map(lambda x: None if x is None else gzip.compress(x))
+
+    return run(data)
+
+
 def gunzipped(data: Column, most: int = 64 << 20) -> Column:
     """Bytes, unpacked where they start like gzip, ``most`` at most; null where they can't be unpacked or are more."""
 

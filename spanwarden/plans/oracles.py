@@ -109,7 +109,7 @@ def html_sql(source: str = "pg") -> str:
     return " union all ".join((meta, ld, found(source, detect.DATA_AI, "container.html_meta")))
 
 
-SVG = "sv as (select concat('p/', cast(page_id as varchar), '.svg') as path, case page_id % 5 when 0 then '<svg><metadata>made by OpenAI</metadata></svg>' when 1 then '<svg><!-- claude --></svg>' when 2 then '<svg generator=\"Midjourney\"></svg>' when 3 then '<svg generator=\"Midjourney\"><!-- gemini --></svg>' else '<svg><metadata>plain</metadata></svg>' end as text from pages)"
+SVG = "sv as (select concat('p/', cast(page_id as varchar), '.svg') as path, concat(case page_id % 5 when 0 then '<svg><metadata>made by OpenAI</metadata></svg>' when 1 then '<svg><!-- claude --></svg>' when 2 then '<svg generator=\"Midjourney\"></svg>' when 3 then '<svg generator=\"Midjourney\"><!-- gemini --></svg>' else '<svg><metadata>plain</metadata></svg>' end, html) as text from pages)"
 
 
 def svg_sql() -> str:
@@ -147,6 +147,9 @@ GREEDY = f"""ranked as (select path, start, "end", rule_id, replacement, row_num
  select r.path, r.n, r.start, r."end", r.rule_id, r.replacement, r.start >= w.last_end, case when r.start >= w.last_end then r."end" else w.last_end end from walk w join ranked r on r.path = w.path and r.n = w.n + 1),
  taken as (select path, start, "end", rule_id, replacement, row_number() over (partition by path order by start) as m, lag("end", 1, 0) over (partition by path order by start) as before, lead(start) over (partition by path order by start) as after from walk where taken)"""
 
+PIECES = "pieces as (select t.path, t.m, decode(encode(d.text)[t.before + 1:t.start]) || t.replacement || case when t.after is null then decode(encode(d.text)[t.\"end\" + 1:strlen(d.text)]) else '' end as piece from taken t join docs d using (path))"
+
+
 def divergence_sql(source: str) -> str:
     """From (…, a_text, b_text): adds d."""
     return f"""(select *, case when len(a) = 0 and len(b) = 0 then 0.0 when len(a) = 0 or len(b) = 0 then 1.0 else 1 - len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end as d
@@ -238,10 +241,14 @@ ORACLES: dict[str, str] = {
     "snippet_escape": f"with {DOCS}, {LINES} select * from (select path, number, {shown('line')} as snippet from lines) where contains(snippet, '<U+') or contains(snippet, '\\t')",
     "layerb_survey": ALL + f", marked as (select distinct path from merged where family in ('stamp', 'c2pa', 'unicode', 'metadata', 'heuristic')), noted as (select distinct path from regions where region is not null and {_long}) select path, path in (select path from marked) as recommended from docs where (regexp_matches(lower(path), '\\.(md|txt|html|htm|rst|adoc)$') and length(text) >= 280) or path in (select path from noted)",
     "lexical_divergence": f"select conv_id, turn, round(d, 6) as divergence from {divergence_sql('(select conv_id, turn, text as a_text, lead(text) over (partition by conv_id order by turn) as b_text from conversations)')} where b_text is not null",
-    "select_candidate": f"select conv_id, turn as chosen, score from (select *, row_number() over (partition by conv_id order by score desc, turn) as n from (select conv_id, turn, round(d - case when strlen(b_text)::double / greatest(strlen(a_text), 1) > 2 or strlen(b_text)::double / greatest(strlen(a_text), 1) < 0.5 then 0.15 else 0.0 end, 6) as score from {divergence_sql('(select c.conv_id, c.turn, f.text as a_text, c.text as b_text from conversations c join conversations f on f.conv_id = c.conv_id and f.turn = 0 where c.turn > 0)')})) where n = 1",
+    "select_candidate": f"with c as (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations) select conv_id, turn as chosen, score from (select *, row_number() over (partition by conv_id order by score desc, k) as n from (select conv_id, turn, k, round(d - case when strlen(b_text)::double / greatest(strlen(a_text), 1) > 2 or strlen(b_text)::double / greatest(strlen(a_text), 1) < 0.5 then 0.15 else 0.0 end, 6) as score from {divergence_sql('(select c.conv_id, c.turn, c.k, f.text as a_text, c.text as b_text from c join c f on f.conv_id = c.conv_id and f.k = 1 where c.k > 1)')})) where n = 1",
     "guess_kind": f"select page_id, {_guess} as kind from pages",
     "origin_allowed": f"select page_id, o as origin, coalesce(o = p or o = case when starts_with(p, 'http:') and ends_with(p, ':80') then 'https' || regexp_replace(substr(p, 5), ':80$', ':443') end, false) as from_http, coalesce(p = o or p = case when starts_with(o, 'http:') and ends_with(o, ':80') then 'https' || regexp_replace(substr(o, 5), ':80$', ':443') end, false) as to_http from (select page_id, {_origin} as o, (select any_value(x) from (select 'http://' || regexp_replace(regexp_replace(lower({_host}), ':[0-9]*$', ''), '\\.$', '') || ':' || coalesce(nullif(regexp_extract({_host}, ':([0-9]+)$', 1), ''), '80') as x)) as p from pages)",
-    "parse_sitemap": "select page_id, k as place, case k when 0 then 'https://a.example/' || cast(page_id as varchar) else 'https://a.example/i.png' end as loc from pages, (values (0::bigint), (1::bigint)) t(k)",
+    "parse_sitemap": "select page_id, k as place, case k when 0 then trim(url) else 'https://a.example/i.png' end as loc from pages, (values (0::bigint), (1::bigint)) t(k)",
+    "binary_metadata": "select 'f/' || doc_id || '.' || k as path, 'container.' || k || '_metadata' as rule_id, case k when 'png' then 'tEXt' when 'jpeg' then 'COM' when 'webp' then 'XMP' when 'pdf' then 'Producer' else 'dc:creator' end as evidence from (select doc_id, case doc_id % 6 when 0 then 'png' when 1 then 'jpeg' when 2 then 'webp' when 3 then 'pdf' when 4 then 'docx' else 'odt' end as k from documents where doc_id // 6 % 2 = 1)",
+    "comment_bodies": BASE + "select path, number, body from (select path, number, regexp_replace(region, '^[ \\t\\r]*(?:<!--|//+|/\\*+|--|#+|\\*+)[ \\t\\r]*|[ \\t\\r]*(?:-->|\\*/)?[ \\t\\r]*$', '', 'g') as body from regions where region is not null) where strlen(body) >= 20",
+    "clean_verify": ALL + f", {GREEDY}, {PIECES}, cl as (select path, coalesce(c, text) as text from docs left join (select path, string_agg(piece, '' order by m) as c from pieces group by path) using (path)) select rule_id, coalesce(f.clean, r.clean) as clean, count(*) as n from ({unicode_sql(source='cl')}) f join rules r on f.rule_id = r.id group by all",
+    "scrub_text": ALL + f", {GREEDY.replace('from merged', chr(39).join(('from (select * from merged where detector = ', 'unicode', ') as own')))}, {PIECES} select path, md5(c) as digest, removed from (select path, string_agg(piece, '' order by m) as c, count(*) as removed from pieces group by path) join docs using (path) where c <> text",
     "sarif_rows": ALL + f" select path, rule_id, case severity when 'error' then 'error' when 'warning' then 'warning' else 'note' end as level, start as byte_offset, \"end\" - start as byte_length, concat_ws(' {chr(0xB7)} ', {_evidence_symbol}, message) as message from merged",
     "aggressive_clean": all_sql(True) + " select rule_id, clean, replacement, count(*) as n from merged where family = 'unicode' group by all",
     "nfkc": "select doc_id, md5('file A ' || text) as digest from documents",

@@ -1,4 +1,4 @@
-"""The registered queries of the audit engine; their SQL is in ``oracles``."""
+"""The registered audit queries; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -93,8 +93,9 @@ def finding_positions(spark, sf_dir):
 
 
 def svg_findings(spark, sf_dir):
-    body = "case page_id % 5 when 0 then '<svg><metadata>made by OpenAI</metadata></svg>' when 1 then '<svg><!-- claude --></svg>' when 2 then '<svg generator=\"Midjourney\"></svg>' when 3 then '<svg generator=\"Midjourney\"><!-- gemini --></svg>' else '<svg><metadata>plain</metadata></svg>' end"
-    return detect.svg_marks(table(spark, sf_dir, "pages").select(F.expr("concat('p/', cast(page_id as string), '.svg')").alias("path"), F.expr(body).alias("text"))).select(*COLUMNS)
+    """Pages' markup behind marks of SVG files."""
+    mark = "case page_id % 5 when 0 then '<svg><metadata>made by OpenAI</metadata></svg>' when 1 then '<svg><!-- claude --></svg>' when 2 then '<svg generator=\"Midjourney\"></svg>' when 3 then '<svg generator=\"Midjourney\"><!-- gemini --></svg>' else '<svg><metadata>plain</metadata></svg>' end"
+    return detect.svg_marks(table(spark, sf_dir, "pages").select(F.expr("concat('p/', cast(page_id as string), '.svg')").alias("path"), F.concat(F.expr(mark), F.col("html")).alias("text"))).select(*COLUMNS)
 
 
 def front_matter_keys(spark, sf_dir):
@@ -285,10 +286,12 @@ def lexical_divergence(spark, sf_dir):
 
 
 def select_candidate(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    first = c.filter("turn = 0").select("conv_id", F.col("text").alias("original"))
-    scored = c.filter("turn > 0").join(first, "conv_id").withColumn("score", F.round(audit.candidate_score(F.col("original"), F.col("text")), 6))
-    best = scored.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "turn"))).filter("n = 1")
+    """Of each conversation's later turns the one that a rewrite of its first would be."""
+    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(w))
+    first = c.filter("k = 1").select("conv_id", F.col("text").alias("original"))
+    scored = c.filter("k > 1").join(first, "conv_id").withColumn("score", F.round(audit.candidate_score(F.col("original"), F.col("text")), 6))
+    best = scored.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("score"), "k"))).filter("n = 1")
     return best.select("conv_id", F.col("turn").alias("chosen"), "score")
 
 
@@ -307,8 +310,12 @@ def origin_allowed(spark, sf_dir):
 
 
 def parse_sitemap(spark, sf_dir):
-    xml = F.concat(F.lit("<urlset xmlns:image='http://www.google.com/schemas/sitemap-image/1.1'><url><loc> https://a.example/"), F.col("page_id").cast("string"), F.lit(" </loc><image:image><image:loc>https://a.example/i.png</image:loc></image:image></url></urlset>"))
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.sitemap_locations(xml)).alias("place", "loc")).select("page_id", F.col("place").cast("long").alias("place"), "loc")
+    """A sitemap that names each page's address and an image; half of them packed."""
+    ship(spark)
+    address = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    xml = F.concat(F.lit("<urlset xmlns:image='http://www.google.com/schemas/sitemap-image/1.1'><url><loc> "), address, F.lit(" </loc><image:image><image:loc>https://a.example/i.png</image:loc></image:image></url></urlset>"))
+    data = files.gunzipped(files.gzipped(F.encode(xml, "UTF-8")))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.sitemap_locations(F.decode(data, "UTF-8"))).alias("place", "loc")).select("page_id", F.col("place").cast("long").alias("place"), "loc")
 
 
 def sarif_rows(spark, sf_dir):
@@ -324,8 +331,15 @@ def aggressive_clean(spark, sf_dir):
 
 
 def binary_metadata(spark, sf_dir):
+    """Files of six kinds with a document's words in their metadata, every other one marked."""
     ship(spark)
-    return binary.scanned(binary.samples(spark, table(spark, sf_dir, "documents")))
+    return binary.scanned(binary.samples(spark, table(spark, sf_dir, "documents"))).select("path", "rule_id", "evidence")
+
+
+def scrub_text(spark, sf_dir):
+    """Texts without their invisible marks, whatever else they hold."""
+    texts = docs(spark, sf_dir).filter(detect.payload(F.col("path"), F.col("text")))
+    return audit.scrubbed(texts).filter("text <> cleaned").select("path", F.md5(F.encode("cleaned", "UTF-8")).alias("digest"), F.col("removed").cast("long").alias("removed"))
 
 
 def nfkc(spark, sf_dir):
@@ -352,5 +366,5 @@ QUERIES = {
     "snippet_escape": snippet_escape, "layerb_survey": layerb_survey, "lexical_divergence": lexical_divergence, "select_candidate": select_candidate, "guess_kind": guess_kind,
     "origin_allowed": origin_allowed, "parse_sitemap": parse_sitemap, "sarif_rows": sarif_rows, "aggressive_clean": aggressive_clean, "binary_metadata": binary_metadata,
     "nfkc": nfkc, "mixed_script": mixed_script,
-    "layer_tags": layer_tags, "container_dispatch": container_dispatch, "score_evidence": score_evidence, "score_agent_fallback": score_agent_fallback, "decode_units": decode_units, "file_counters": file_counters, "file_counters_forced": file_counters_forced, "finding_snippets": finding_snippets, "finding_order": finding_order, "kind_suffix": kind_suffix, "resolve_url": resolve_url, "public_addresses": public_addresses, "comment_bodies": comment_bodies, "layerb_plan": layerb_plan, "model_answers": model_answers, "go_findings": go_findings,
+    "layer_tags": layer_tags, "container_dispatch": container_dispatch, "score_evidence": score_evidence, "score_agent_fallback": score_agent_fallback, "decode_units": decode_units, "file_counters": file_counters, "file_counters_forced": file_counters_forced, "finding_snippets": finding_snippets, "finding_order": finding_order, "kind_suffix": kind_suffix, "resolve_url": resolve_url, "public_addresses": public_addresses, "comment_bodies": comment_bodies, "layerb_plan": layerb_plan, "model_answers": model_answers, "go_findings": go_findings, "scrub_text": scrub_text,
 }
