@@ -83,8 +83,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_chat, op3_quality, op4_pii, op5_toxicity, op6_line_dedup, op7_token_shards, op8_decontamination, op9_quality_rules, op10_near_duplicates, pipeline)
 }
 
-#: Where SQL can't express an operator (sketches, sampled fits, edit joins, token files), tests/llm hold
-#: it against brute force instead.
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+#: name: (numerator, denominator, scale, least spread), as the rules' ratios
+_RATIOS = ", ".join(f"('{k}', {v[0]} * {v[2]} // greatest({v[1]}, 1), {v[3]}, {str(v[4]).lower()})" for k, v in quality_rules.RATIOS.items())
+
+#: Where SQL can't express an operator (sampled fits, edit joins, dynamic programmes, token files), tests/llm
+#: hold it against brute force instead.
 ORACLES: dict[str, str] = {
     "op2_chat": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -95,4 +100,47 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(escaped + case when before is null or before <> role then length(role) + 20 else 6 end)::bigint as formatted_chars
 from e group by conv_id""",
+    "op8_decontamination": rf"""
+with side as (select 'd' as side, doc_id as id, {_LOW} as t from documents union all select 'b', item_id, {_LOW} from benchmark),
+w as (select side, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from side),
+items as (select distinct id, size, array_to_string(ws[k:k + size - 1], ' ') as win from (select *, unnest(generate_series(1, len(ws) - size + 1)) as k from (select *, least(len(ws), 13) as size from w where side = 'b' and len(ws) > 0))),
+hits as (select d.id, d.k, d.size, i.id as item from (select id, size, k, array_to_string(ws[k:k + size - 1], ' ') as win from
+  (select id, ws, size, unnest(generate_series(1, len(ws) - size + 1)) as k from w, (select distinct size from items) where side = 'd' and len(ws) >= size)) d join items i on i.size = d.size and i.win = d.win),
+words as (select id, count(distinct pos) as n_hit from (select id, unnest(generate_series(k, k + size - 1)) as pos from (select distinct id, k, size from hits)) group by id),
+found as (select id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct id, item::varchar as item from hits) group by id)
+select w.id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from w left join words using (id) left join found using (id) where side = 'd'""",
+    "op9_quality_rules": rf"""
+with w as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as ws, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+grams as (select doc_id, k, array_to_string(ws[k:k + 4], ' ') as g from (select doc_id, ws, unnest(generate_series(1, len(ws) - 4)) as k from w)),
+again as (select doc_id, count(distinct pos) as n_repeat_words from (select doc_id, unnest(generate_series(k, k + 4)) as pos from (select *, count(*) over (partition by doc_id, g) as c from grams) where c > 1) group by doc_id),
+dup as (select doc_id, sum(c - 1) as n_dup_lines from (select doc_id, l, count(*) as c from (select doc_id, unnest(ls) as l from w) where regexp_matches(l, '{_SPACED}') group by all) group by doc_id),
+counts as (select doc_id, lang, source, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+  coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, len(ls)::bigint as n_lines from w left join again using (doc_id) left join dup using (doc_id)),
+ratios as (select doc_id, lang, source, n_words, r.* from counts, lateral (values {_RATIOS}) r(metric, v, least_spread, both_sides)),
+cells as (select lang, source, metric, (v >> greatest(length(ltrim(bin(v), '0')) - 6, 0)::bigint) << greatest(length(ltrim(bin(v), '0')) - 6, 0)::bigint as cell, count(*) as n from ratios where n_words > 0 group by all),
+sums as (select lang, source, metric, 1 as level, cell, sum(n) as n from cells group by all union all select lang, null, metric, 2, cell, sum(n) from cells group by all union all select null, null, metric, 3, cell, sum(n) from cells group by all),
+run as (select *, sum(n) over (partition by level, lang, source, metric order by cell) as up, sum(n) over (partition by level, lang, source, metric) as total from sums),
+quart as (select level, lang, source, metric, max(total) as total, min(cell) filter (up * 4 >= total) as q1, min(cell) filter (up * 4 >= total * 3) as q3 from run group by all),
+own as (select r.*, case when g.total >= 200 then g.q1 when l.total >= 200 then l.q1 else a.q1 end as q1, case when g.total >= 200 then g.q3 when l.total >= 200 then l.q3 else a.q3 end as q3, g.total is null as new
+  from ratios r left join quart g on g.level = 1 and g.lang is not distinct from r.lang and g.source is not distinct from r.source and g.metric = r.metric
+  left join quart l on l.level = 2 and l.lang is not distinct from r.lang and l.metric = r.metric left join quart a on a.level = 3 and a.metric = r.metric),
+judged as (select doc_id, bool_or(not new and (v > q3 + 6 * greatest(q3 - q1, least_spread) or (both_sides and v < q1 - 6 * greatest(q3 - q1, least_spread)))) as outside from own group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and not coalesce(outside, false) as kept from counts join judged using (doc_id)""",
+    "op10_near_duplicates": rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW}, '{_SPACED}') as ws from documents),
+sets as (select doc_id, case when len(ws) >= 2 then list_sort(list_distinct(list_transform(generate_series(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1]))) else ws end as s from w),
+classes as (select s, min(doc_id) as rep, len(s) as n from sets where len(s) > 0 group by s),
+-- with its shingles from the rarest on, a set shares one of the first n - ceil(0.8 n) + 1 with any that is alike
+each as (select rep, n, unnest(s) as x from classes),
+rare as (select rep, n, x, row_number() over (partition by rep order by c, x) as pos from (select *, count(*) over (partition by x) as c from each)),
+front as (select rep, n, x from rare where pos <= n - ceil(n * 80 / 100) + 1),
+pairs as (select distinct a.rep as a, b.rep as b from front a join front b on a.x = b.x and a.rep < b.rep and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+links as (select p.a, p.b from pairs p join classes x on x.rep = p.a join classes y on y.rep = p.b where 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+edges as (select a, b from links union all select b, a from links),
+reach as (select rep as node, rep as low from classes union select r.node, e.b from reach r join edges e on e.a = r.low where true),
+tops as (select node, min(low) as component from reach group by node)
+select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(t.component, d.doc_id) as component_id, coalesce(t.component, d.doc_id) = d.doc_id as kept
+from sets d left join classes c on c.s = d.s left join tops t on t.node = c.rep""",
 }
