@@ -85,7 +85,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: i
     for end in reversed(ends):
         bucket = F.when(F.col("n_tokens") <= end, F.lit(end).cast("long")).otherwise(bucket)
     shards = max(SHARDS, sum(h[1] for h in histogram) // SHARD_ROWS)
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(shards))
+    name = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("piece").cast("string"), F.col("n_tokens").cast("string"))
+    shard = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("long") % shards
     rows = rows.withColumn("bucket", bucket).withColumn("shard", shard.cast("long"))
     # buckets x shards rows
     sums = rows.groupBy("bucket", "shard").agg(F.sum("same").alias("n"))

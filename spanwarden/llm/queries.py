@@ -88,9 +88,33 @@ _SPACED = r"[^\x20\x09-\x0D]+"
 #: name: (numerator, denominator, scale, least spread), as the rules' ratios
 _RATIOS = ", ".join(f"('{k}', {v[0]} * {v[2]} // greatest({v[1]}, 1), {v[3]}, {str(v[4]).lower()})" for k, v in quality_rules.RATIOS.items())
 
+
+
+def _packing_sql() -> str:
+    """The dynamic programme unrolled: a table for each number of buckets, with the cheapest end before each."""
+    least = "select j, min(cost) as cost, arg_min(i, (cost, i)) as i from"
+    tables = [f"b1 as ({least} (select j, 0 as i, c0(0, j) as cost from x) group by j)".replace("c0(0, j)", "hi * x - tok")]
+    for k in range(2, packing.BUCKETS + 1):
+        pad = "(y.hi - p.hi) * y.x - (y.tok - p.tok)"
+        tables.append(f"b{k} as ({least} (select y.j, p.j as i, b.cost + {pad} as cost from x y join x p on p.j < y.j join b{k - 1} b on b.j = p.j) group by j)")
+    ends = [f"e{packing.BUCKETS} as (select max(j) as j from x)"]
+    ends += [f"e{k} as (select i as j from b{k + 1} join e{k + 1} using (j))" for k in range(packing.BUCKETS - 1, 0, -1)]
+    every = " union all ".join(f"select j from e{k}" for k in range(1, packing.BUCKETS + 1))
+    return rf"""
+with n as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::bigint as n from documents),
+p as (select doc_id, piece, least({packing.LONGEST}, n - piece * {packing.LONGEST})::bigint as n_tokens from (select *, unnest(generate_series(0, (n - 1) // {packing.LONGEST})) as piece from n where n > 0)),
+x as materialized (select n_tokens as x, row_number() over (order by n_tokens) as j, sum(count(*)) over (order by n_tokens)::bigint as hi, sum(count(*) * n_tokens) over (order by n_tokens)::bigint as tok from p group by n_tokens),
+{", ".join(t.replace(" as (", " as materialized (", 1) for t in tables)}, {", ".join(ends)},
+ends as (select x as bucket from x join ({every}) using (j)),
+b as (select p.*, (select min(bucket) from ends where bucket >= n_tokens) as bucket, ('0x' || substr(md5(doc_id || ',' || piece || ',' || n_tokens), 1, 8))::bigint % greatest({packing.SHARDS}, (select count(*) from p) // {packing.SHARD_ROWS}) as shard from p),
+o as (select *, row_number() over (partition by bucket order by shard, doc_id, piece, n_tokens) - 1 as place, greatest(1, {packing.BUDGET} // bucket) as fit from b)
+select doc_id, piece, n_tokens, bucket, (place // fit)::bigint as batch, (place % fit)::bigint as slot from o"""
+
+
 #: Where SQL can't express an operator (sampled fits, edit joins, dynamic programmes, token files), tests/llm
 #: hold it against brute force instead.
 ORACLES: dict[str, str] = {
+    "op1_packing": _packing_sql(),
     "op2_chat": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select * from (values (-7::bigint, 0::bigint, 'user', '</s>[INST] ok [/INST]'), (-7::bigint, 1::bigint, 'assistant', '</s>[INST] ok [/INST]')) t(a, b, c, d)),
