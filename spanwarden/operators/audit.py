@@ -289,12 +289,3 @@ def sarif_rows(findings: DataFrame) -> DataFrame:
     """(path, rule_id, level, byte_offset, byte_length, message)."""
     level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warning", "warning").otherwise("note")
     return findings.select("path", "rule_id", level.alias("level"), F.col("start").alias("byte_offset"), (F.col("end") - F.col("start")).alias("byte_length"), F.concat_ws(" \u00b7 ", F.concat(F.lit("symbol "), symbol(F.col("evidence"))), "message").alias("message"))
-
-
-def sarif(findings: DataFrame, version: str = "dev") -> DataFrame:
-    """One row: a SARIF 2.1.0 document (rules in the order they are first seen). For bounded reports."""
-    rows = sarif_rows(findings).withColumn("n", F.monotonically_increasing_id())
-    result = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("byte_offset").alias("byteOffset"), F.col("byte_length").alias("byteLength")).alias("region")).alias("physicalLocation"))).alias("locations"))
-    all_ = rows.agg(F.array_sort(F.collect_list(F.struct("n", "rule_id", result.alias("r")))).alias("all"))
-    tool = F.struct(F.struct(F.lit("spanwarden").alias("name"), F.lit(version).alias("version"), F.transform(F.array_distinct(F.transform("all", lambda x: x["rule_id"])), lambda r: F.struct(r.alias("id"))).alias("rules")).alias("driver"))
-    return all_.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(tool.alias("tool"), F.transform("all", lambda x: x["r"]).alias("results"))).alias("runs"))).alias("document"))
