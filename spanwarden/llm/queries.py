@@ -167,4 +167,18 @@ reach as (select rep as node, rep as low from classes union select r.node, e.b f
 tops as (select node, min(low) as component from reach group by node)
 select d.doc_id, len(d.s)::bigint as n_shingles, coalesce(t.component, d.doc_id) as component_id, coalesce(t.component, d.doc_id) = d.doc_id as kept
 from sets d left join classes c on c.s = d.s left join tops t on t.node = c.rep""",
+    # its distance is one of bytes, so the characters beyond ASCII (of 28 at most) stand for themselves by control ones
+    "op6_line_dedup": r"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as pos from documents),
+o as (select * from l where length(line) >= 30 or regexp_matches(line, '[\p{L}\p{N}]')),
+known as (select line, min((doc_id, pos)) as first from o group by line),
+far as (select string_agg(c, '' order by c) as chars from (select distinct unnest(string_split(line, '')) as c from known where length(line) >= 30) where ord(c) > 127),
+near_ as (select array_to_string(list_transform(list_filter(generate_series(1, 31), lambda i: i not in (9, 10, 13)), lambda i: chr(i::int)), '') as codes),
+long as materialized (select line, first, length(line) as n, translate(line, chars, codes) as code, length(replace(line, 'e', '')) as e, length(replace(line, 'a', '')) as a, length(replace(line, 'n', '')) as m, length(replace(line, 't', '')) as t, length(replace(line, ' ', '')) as s from known, far, near_ where length(line) >= 30),
+links as (select x.line as a, y.line as b, x.first as fa, y.first as fb from long x join long y on y.n between x.n and x.n + 2 and (x.n < y.n or x.line < y.line)
+  and abs((x.n - x.e) - (y.n - y.e)) <= 2 and abs((x.n - x.a) - (y.n - y.a)) <= 2 and abs((x.n - x.m) - (y.n - y.m)) <= 2 and abs((x.n - x.t) - (y.n - y.t)) <= 2 and abs((x.n - x.s) - (y.n - y.s)) <= 2
+  and levenshtein(x.code, y.code) <= 2),
+ends as (select line, bool_or(later) as near, count(*) as links from (select a as line, fb < fa as later from links union all select b, fa < fb from links) group by line),
+told as (select doc_id, count(*) filter (coalesce(near, false) or first <> (doc_id, pos)) as n_removed, count(*) filter (coalesce(near, false)) as n_near, sum(coalesce(links, 0))::bigint as n_links from o join known using (line) left join ends using (line) group by doc_id)
+select doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_near, 0)::bigint as n_near, coalesce(n_links, 0)::bigint as n_links from documents left join told using (doc_id)""",
 }
