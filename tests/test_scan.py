@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanwarden.operators import audit, binary, detect, files, golang, report, rewriting, scan
+from spanwarden.plans.lineage import cut
 from spanwarden.plans.shipping import ship
 from spanwarden.sources import directory
 from spanwarden.streaming import scan as streaming
@@ -163,8 +164,8 @@ def test_own_messages_win(spark):
 def test_reports(spark):
     ship(spark)
     u = units(spark, b_md="x​", a_md="// Co-authored-by: Cursor <c@x.io>\n" + "word " * 80)
-    raw = scan.raw(u)
-    r = report.report(u, raw, scan.scan(u), {"scanned": 2, "skipped": 1, "texts": 2, "images": 0, "docs": 0})
+    raw, merged = cut(scan.raw(u)), cut(scan.scan(u))
+    r = report.report(u, raw, merged, {"scanned": 2, "skipped": 1, "texts": 2, "images": 0, "docs": 0})
     out = {}
     for how in ("", "json", "yml", "sarif"):
         to = io.StringIO()
@@ -177,7 +178,7 @@ def test_reports(spark):
     assert sarif["results"][1]["message"]["text"] == "symbol U+200B · x<U+200B>" and sarif["results"][1]["locations"][0]["physicalLocation"]["region"]["byteLength"] == 3
     assert "2 files scanned, 1 skipped" in out[""] and "  A      1:2       unicode.zwsp  certain" in out[""] and "likely agent  Cursor" in out[""] and "         a.md" in out[""]
     assert "files_scanned: 2" in out["yml"] and '- ' not in out["yml"].split("findings:")[0].replace("- \"", "") and 'rule_id: "unicode.zwsp"' in out["yml"]
-    none = report.report(u, raw.filter("false"), scan.scan(u).filter("false"), {"scanned": 0, "skipped": 0, "texts": 0, "images": 0, "docs": 0})
+    none = report.report(u, raw.filter("false"), merged.filter("false"), {"scanned": 0, "skipped": 0, "texts": 0, "images": 0, "docs": 0})
     to = io.StringIO()
     report.write(to, "json", none)
     assert json.loads(to.getvalue())["findings"] is None
