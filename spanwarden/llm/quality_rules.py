@@ -125,6 +125,14 @@ def sketches(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     return parts.groupBy("lang", "source", "metric", "cell").agg(F.sum("n").alias("n"))
 
 
+def _summed(rows: DataFrame, names: dict[str, str], lang: str, source: str) -> DataFrame:
+    """The same sketches from rows that are measured already."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("metric"), F.col(names[f"r_{r}"]).alias("v")) for r in RATIOS])).alias("m")
+    rows = rows.filter(F.col(names["n_words"]) > 0).select(F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(source)).cast("string").alias("source"), each)
+    shift = "greatest(length(bin(m.v)) - 6, 0)"
+    return rows.groupBy("lang", "source", "m.metric", F.expr(f"shiftleft(shiftright(m.v, {shift}), {shift})").alias("cell")).agg(F.count("*").alias("n"))
+
+
 def thresholds(sketch: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, low_*, high_*) of each group, from its own sketch or the next wider one."""
     levels = sketch.groupBy("lang", "metric", "cell").agg(F.sum("n").alias("n"))
@@ -162,10 +170,15 @@ def assess(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     keep = docs.columns if keep is None else keep
     carried = list(dict.fromkeys([*keep, lang, source]))
     names = {c: fresh(c, docs.columns) for c in (*COUNTS, *[f"r_{r}" for r in RATIOS], "base_failed", "kept", "group_lang", "group_source")}
-    fence_table = cut(thresholds(cut(sketches(docs, text, lang, source)), fence, min_group))
     added = [names[c] for c in (*COUNTS, *[f"r_{r}" for r in RATIOS])]
     schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(c, T.LongType()) for c in added])
     rows = docs.select(*[quoted(c) for c in dict.fromkeys([*carried, text])]).mapInArrow(partial(_measured, text=text, keep=carried, names=added), schema)
+    if text in carried:  # texts aren't written down, but measured again
+        sketch = sketches(docs, text, lang, source)
+    else:
+        rows = cut(rows)
+        sketch = _summed(rows, names, lang, source)
+    fence_table = cut(thresholds(cut(sketch), fence, min_group))
     rows = rows.withColumn(names["group_lang"], F.col(quoted(lang)).cast("string")).withColumn(names["group_source"], F.col(quoted(source)).cast("string"))
     fences = fence_table.select(F.col("lang").alias(names["group_lang"]), F.col("source").alias(names["group_source"]), *[F.col(f"{s}_{r}").alias(f"_{s}_{r}") for r in RATIOS for s in ("low", "high")])
     rows = join_small(rows, fences, [names["group_lang"], names["group_source"]], fence_table.count())

@@ -73,11 +73,11 @@ def quality_verdicts(rows, min_group=quality_rules.MIN_GROUP):
     return counts, out
 
 
-@pytest.mark.parametrize("min_group", [200, 20])
-def test_quality_counts_thresholds_and_verdicts(spark, min_group):
+@pytest.mark.parametrize("min_group, keep", [(200, None), (20, None), (200, ["doc_id"]), (20, ["doc_id"])])
+def test_quality_counts_thresholds_and_verdicts(spark, min_group, keep):
     rows, _ = make_corpus()
     rows += [(900 + i, " ".join(["word"] * 3 + [f"w{j}" * (1 + i % 9) for j in range(20)]) + " #" * (i % 4) * i, "en", "s1", 1) for i in range(60)]
-    got, names = quality_rules.assess(spark.createDataFrame(rows, SCHEMA), min_group=min_group)
+    got, names = quality_rules.assess(spark.createDataFrame(rows, SCHEMA), min_group=min_group, keep=keep)
     counts, kept = quality_verdicts(rows, min_group)
     want = collections.Counter((str(r[0]), *c.values(), k) for r, c, k in zip(rows, counts, kept, strict=True))
     assert collections.Counter((str(r["doc_id"]), *(r[names[c]] for c in counts[0]), r[names["kept"]]) for r in got.collect()) == want
