@@ -80,6 +80,33 @@ def join_small(left: DataFrame, right: DataFrame, keys: Sequence[str], right_row
     return left.join(right, [*on, F.col(a) == F.col(b)], how).drop(a, b, *marks.values())
 
 
+#: Bits that ``sifted`` broadcasts for each key, at least, and altogether, at most (64 MiB).
+SIFT_BITS, SIFT_MOST = 32, 1 << 29
+#: Bits of a block, in words of 64.
+_BLOCK = 4096
+
+
+def sifted(left: DataFrame, key: str, right: DataFrame, right_rows: int) -> DataFrame:
+    """The rows of ``left`` whose ``key`` may be one of ``right``'s: all that are, and few others (one in a thousand at ``SIFT_BITS``).
+
+    No side is dealt out, however many keys there are: a Bloom filter of them is broadcast (Bloom, 1970), in
+    blocks, each of which holds all three bits of its keys (Putze, Sanders and Singler, 2007). Beyond
+    ``SIFT_MOST`` more others stay. ``right`` is read once, so it should be materialised.
+    """
+    x, block, words = (fresh(c, left.columns) for c in ("_x", "_block", "_words"))
+    bits = min(SIFT_MOST, max(_BLOCK, 1 << (SIFT_BITS * right_rows - 1).bit_length()))
+    of = f"{x} & {bits // _BLOCK - 1}L"
+    places = [f"cast(shiftrightunsigned({x}, {by}) & {_BLOCK - 1}L as int)" for by in (20, 32, 44)]
+    rows = right.select(F.xxhash64(quoted(key)).alias(x)).select(F.expr(of).alias(block), F.explode(F.expr(f"array({', '.join(places)})")).alias(x))
+    rows = rows.groupBy(block, F.expr(f"{x} div 64").cast("int").alias("i")).agg(F.expr(f"bit_or(shiftleft(1L, {x} % 64))").alias("bits"))
+    rows = rows.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("i", "bits"))).alias(words))
+    rows = rows.select(block, F.expr(f"transform(sequence(0, {_BLOCK // 64 - 1}), i -> coalesce(element_at({words}, i), 0L))").alias(words))
+    may = " and ".join(f"getbit(get({words}, cast({p} div 64 as int)), {p} % 64) = 1" for p in places)
+    # a block is one row: no row of the left side meets two
+    out = left.withColumn(x, F.xxhash64(quoted(key))).join(F.broadcast(rows), F.expr(f"{block} = ({of}) and {may}"))
+    return out.select(*columns(left))
+
+
 def sliced(offsets, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each (one row at least)."""
     i, n = 0, len(offsets) - 1

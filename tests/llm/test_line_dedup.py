@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from spanwarden.llm import line_dedup
+from spanwarden.llm.common import cut, sifted
 
 SCHEMA = "doc_id long, text string, row int, at string, _row string"
 SMALL = ((0, 2), (60, 3), (80, 4))
@@ -121,3 +123,45 @@ def test_probes_hold_every_pair_within_the_threshold(spark):
     want = expected([(i, t) for i, t in enumerate(lines)], spark, ladder, False)
     got = line_dedup.counted(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), ladder=ladder).collect()
     assert {r["doc_id"]: r["n_links"] for r in got} == {i: w[3] for i, w in enumerate(want)} and sum(w[3] for w in want) > 40
+
+
+def long_lines(spark):
+    """Documents of one long line each, some of them copies or an edit apart; the bytes of their texts."""
+    random.seed(6)
+    texts = ["".join(random.choices("abcdefghijklmnop ", k=700)) for _ in range(2500)]
+    texts += [t[:350] + "X" + t[351:] for t in texts[:250]] + texts[250:300]
+    return cut(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)), sum(map(len, texts))
+
+
+def dealt(spark, df):
+    """The rows, sorted, and the bytes that were shuffled for them."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    before = written()
+    rows = sorted(map(str, df().collect()))
+    return rows, written() - before
+
+
+def test_f1_stage_deals_out_no_probe_with_its_text(spark, monkeypatch):
+    df, size = long_lines(spark)
+    stage = lambda: corpus_pipeline.line_stage(spark, df, "")
+    want, _ = dealt(spark, stage)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    got, moved = dealt(spark, stage)
+    assert got == want and len(want) == 2500
+    assert moved < 3 * size
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_sifted_keeps_every_row_that_is_asked_for(spark, n):
+    left = spark.range(-20_000, 20_000).selectExpr("id as h", "'x' as _x", "id % 7 as _words")
+    right = cut(spark.range(n).selectExpr("id * 3 as h"))
+    got = sifted(left, "h", right, n)
+    assert got.columns == left.columns
+    kept = [r["h"] for r in got.collect()]
+    assert len(kept) == len(set(kept)) and {3 * i for i in range(n) if 3 * i < 20_000} <= set(kept)
+    assert len(kept) <= n + 40
