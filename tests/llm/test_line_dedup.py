@@ -156,6 +156,17 @@ def test_f1_stage_deals_out_no_probe_with_its_text(spark, monkeypatch):
     assert moved < 3 * size
 
 
+def test_f2_crowded_lines_deal_out_no_probe_with_its_text(spark, monkeypatch):
+    df, size = long_lines(spark)
+    count = lambda: line_dedup.counted(df, short=True)
+    want, _ = dealt(spark, count)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(line_dedup.candidates, "__defaults__", (0, 0))
+    got, moved = dealt(spark, count)
+    assert got == want and sum("n_links=1" in r for r in want) == 500
+    assert moved < 3 * size
+
+
 @pytest.mark.parametrize("n", [0, 1, 5000])
 def test_sifted_keeps_every_row_that_is_asked_for(spark, n):
     left = spark.range(-20_000, 20_000).selectExpr("id as h", "'x' as _x", "id % 7 as _words")
