@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanwarden.llm import words as X
-from spanwarden.llm.common import cut, fresh, join_small, quoted
+from spanwarden.llm.common import cut, cut_counted, fresh, join_small, quoted
 from spanwarden.llm.components import components
 
 SHINGLE = 5
@@ -139,8 +139,8 @@ def _joined(apart: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -
     """
     own = cut(apart.join(sets.withColumnRenamed("id", "rep"), "rep").withColumn("n", F.size("shingles").cast("long")))
     tokens = own.select("rep", F.explode("shingles").alias("token"))
-    shared = cut(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
-    order = join_small(tokens, shared, ["token"], shared.count(), "inner", BROADCAST_KEYS).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
+    shared, n_shared = cut_counted(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
+    order = join_small(tokens, shared, ["token"], n_shared, "inner", BROADCAST_KEYS).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("order"))
     # shingles of one set alone come before all others and meet nothing
     first = order.join(own.select("rep", "component", "n"), "rep").withColumn("alone", F.col("n") - F.size("order"))
     probed = F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).cast("int")
@@ -161,36 +161,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = cut(rows.mapInArrow(partial(_signed, k=shingle), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
     real = signed.filter("n_shingles > 0 and doc_id is not null")
 
-    classes = cut(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "rep"))
-    placed = join_small(signed.drop("bands"), classes, ["h1", "h2"], n_classes := classes.count())
+    classes, n_classes = cut_counted(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "rep"))
+    placed = join_small(signed.drop("bands"), classes, ["h1", "h2"], n_classes)
     placed = placed.withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
     single = join_small(real, classes, ["h1", "h2"], n_classes).filter(F.coalesce("rep", "doc_id") == F.col("doc_id"))
     every = single.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
 
-    full = cut(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    members = cut(join_small(every, full, ["key"], n_keys := full.count(), "inner", BROADCAST_KEYS).distinct())
-    ids = members.groupBy("rep").agg(F.sum("c").alias("score"))
-    ids = cut(ids)
+    full, n_keys = cut_counted(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    members = cut(join_small(every, full, ["key"], n_keys, "inner", BROADCAST_KEYS).distinct())
+    ids, n_ids = cut_counted(members.groupBy("rep").agg(F.sum("c").alias("score")))
     wanted = ids.select(F.col("rep").alias("doc_id"))
-    sets = cut(join_small(rows, wanted, ["doc_id"], ids.count(), "inner", BROADCAST_IDS).mapInArrow(partial(_sets, k=shingle), "id long, shingles array<long>").distinct())
+    sets = cut(join_small(rows, wanted, ["doc_id"], n_ids, "inner", BROADCAST_IDS).mapInArrow(partial(_sets, k=shingle), "id long, shingles array<long>").distinct())
 
     scored = members.join(ids, "rep")
     centre = scored.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("rep")).alias("r"), F.col("n").alias("m"))).alias("top"))
     stars = join_small(members, centre, ["key"], n_keys, "inner", BROADCAST_KEYS).withColumn("a", -F.col("top.r")).withColumn("m", F.col("top.m"))
     stars = cut(stars.filter((F.col("a") != F.col("rep")) & _alike("n", "m", percent)).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct())
     links = cut(_linked(stars, sets, percent))
-    part = cut(components(links, "a", "b"))
+    part, n_part = cut_counted(components(links, "a", "b"))
 
     # what shares a bucket and is still apart, by component
     whole = cut(ids.select("rep").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
     in_key = members.join(whole, "rep")
     split = in_key.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     apart = cut(join_small(in_key.select("key", "rep", "component"), split, ["key"], n_keys, "inner", BROADCAST_KEYS).select("rep", "component").distinct())
-    more = cut(_joined(apart, sets, stars, percent))
-    if not more.isEmpty():
-        part = cut(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
+    more, n_more = cut_counted(_joined(apart, sets, stars, percent))
+    if n_more:
+        part, n_part = cut_counted(components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"))
 
-    n_part = part.count()
     out = join_small(placed, part.select(F.col("node").alias("rep"), "component"), ["rep"], n_part)
     # rows that share a doc_id are one document: the id's own component holds for all of them
     component = F.coalesce("component", "rep")
@@ -207,10 +205,10 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     rows = docs.withColumn(key, F.xxhash64(F.col(quoted(doc_id)), F.col(quoted(text)).isNull(), F.col(quoted(text))))
     found = near_duplicates(rows, key, text, **options).filter("n_shingles > 0").select(F.col("doc_id").alias(key), F.col("component_id").alias(group))
     found = cut(found.groupBy(key, group).agg(F.count("*").alias(same)))
-    many = cut(found.groupBy(group).agg(F.sum(same).alias("c")).filter("c > 1").select(group))
-    linked = cut(join_small(found, many, [group], many.count(), "inner", BROADCAST_IDS))
+    many, n_many = cut_counted(found.groupBy(group).agg(F.sum(same).alias("c")).filter("c > 1").select(group))
+    linked, n = cut_counted(join_small(found, many, [group], n_many, "inner", BROADCAST_IDS))
     place = F.struct(F.col(quoted(doc_id)).isNull().alias("none"), F.col(quoted(doc_id)).alias("id"), F.col(key).alias("row")).alias("place")
-    places = join_small(rows.select(key, place), linked, [key], n := linked.count(), "inner", BROADCAST_IDS)
+    places = join_small(rows.select(key, place), linked, [key], n, "inner", BROADCAST_IDS)
     first = cut(places.groupBy(group).agg(F.min("place")["row"].alias(keep)))
     told = join_small(linked, first, [group], n, "inner", BROADCAST_IDS).drop(group)
     rows = join_small(rows, told, [key], n, "left", BROADCAST_IDS).filter(F.col(keep).isNull() | (F.col(keep) == F.col(key)))

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from spanwarden.llm import components, neardup
+from spanwarden.llm.common import cut_counted
 
 
 def brute(n, edges):
@@ -41,3 +42,38 @@ def test_one_of_each_judges_rows_by_their_own_texts(spark):
     left = neardup.one_of_each(df)
     assert left.columns == df.columns
     assert sorted((str(r["doc_id"]), r["text"] or "") for r in left.collect()) == sorted((str(i), t or "") for i, t in [(5, a), (3, b + " x"), (None, c), (8, None), (8, ""), (8, ""), (9, d)])
+
+
+@pytest.mark.parametrize("nodes", [0, 100_000])
+@pytest.mark.parametrize("edges", [0, 10, 500_000])
+def test_components_in_one_task_and_by_stars(spark, monkeypatch, nodes, edges):
+    monkeypatch.setattr(components, "BROADCAST_NODES", nodes)
+    monkeypatch.setattr(components, "TASK_EDGES", edges)
+    random.seed(4)
+    zigzag = [0, 9, 1, 8, 2, 7, 3, 6, 4, 5]
+    for pairs in ([], [(3, 3)], [*zip(zigzag, zigzag[1:])], [(19, k) for k in range(19)] + [(25, 22), (22, 25)], [(random.randrange(90), random.randrange(90)) for _ in range(70)]):
+        want = brute(90, pairs)
+        rows = components.components(spark.createDataFrame(pairs, "a int, b int"), "a", "b").collect()
+        assert sorted((r["node"], r["component"]) for r in rows) == sorted({(x, want[x]) for a, b in pairs for x in (a, b) if a != b})
+
+
+def test_rows_are_counted_as_they_are_cut(spark):
+    df = spark.range(1000).filter("id % 3 = 0").repartition(7)
+    for rows, n in ((df, 334), (df.filter("id < 0"), 0), (df.filter("false"), 0), (df.groupBy("id").count().filter("count > 1"), 0)):
+        out, counted = cut_counted(rows)
+        assert counted == out.count() == n
+
+
+def test_near_duplicates_take_few_queries_of_the_driver(spark):
+    """Each query costs the driver plans, threads and broadcasts, whatever its rows."""
+    random.seed(6)
+    base = [[f"w{random.randrange(900)}" for _ in range(80)] for _ in range(12)]
+    rows = [(i, " ".join(base[i % 12][: 80 - i // 24] + [f"x{i}"] * (i // 30))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sc = spark.sparkContext
+    sc.setJobGroup("near", "near duplicates")
+    left = neardup.one_of_each(df).collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("near")
+    assert 12 <= len(left) < 120
+    assert len(jobs) <= 100, len(jobs)
