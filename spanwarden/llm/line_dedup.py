@@ -366,21 +366,35 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     return hits.select("place.row", "place.at", (F.col("near") | (F.col("first") != F.col("place"))).alias("gone"), "near", "links")
 
 
+def _left(text: str, at: str) -> Column:
+    """What is left of a text without its lines at the places ``at``; null where no line is left."""
+    lines = F.split(F.col(quoted(text)), "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+    return F.when(F.coalesce(F.size(at), F.lit(0)) <= 0, F.col(quoted(text))).when(F.size(stay) > 0, kept)
+
+
+def _n_lines(text: str) -> Column:
+    breaks = F.octet_length(quoted(text)) - F.octet_length(F.replace(F.col(quoted(text)), F.lit("\n"), F.lit("")))
+    return F.coalesce(breaks + 1, F.lit(0)).cast("long")
+
+
 def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHARS, ladder: Ladder = LADDER, short: bool = False, share: int | None = None) -> DataFrame:
     """(doc_id, n_lines, n_removed, n_near, n_links): per document the lines that go, and its lines' links.
 
-    n_removed is what ``without_repeats`` takes away, n_near how many of these stand after a line they link with.
+    n_removed is counted in the texts that are left, which ``without_repeats`` gives, too; n_near is how many of
+    these lines stand after a line they link with.
     """
     hits = repeats(docs, doc_id, text, least, ladder, short, share)
-    sums = hits.groupBy("row").agg(F.count_if("gone").alias("gone"), F.count_if("near").alias("near"), F.sum("links").alias("links"))
-    breaks = F.octet_length(F.col(quoted(text))) - F.octet_length(F.replace(F.col(quoted(text)), F.lit("\n"), F.lit("")))
-    n_lines = F.when(F.col(quoted(text)).isNull(), 0).otherwise(breaks + 1).cast("long")
-    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), _row(docs, doc_id, text).alias("row"), n_lines.alias("n_lines"))
     # equal rows have each been counted for the other too
-    same = rows.groupBy("row").agg(F.count("*").alias("same")).filter("same > 1")
-    sums = sums.join(same, "row", "left")
-    each = lambda c, to: F.coalesce(F.col(c) / F.coalesce("same", F.lit(1)), F.lit(0)).cast("long").alias(to)
-    return rows.join(sums, "row", "left").select("doc_id", "n_lines", each("gone", "n_removed"), each("near", "n_near"), each("links", "n_links"))
+    each = lambda c, to: F.expr(f"{c} div (n div size(places))").alias(to)
+    sums = hits.groupBy("row").agg(F.collect_set(F.when(F.col("gone"), F.col("at"))).alias("at"), F.collect_set("at").alias("places"), F.count("*").alias("n"), F.count_if("near").alias("near"), F.sum("links").alias("links"))
+    sums = cut(sums.filter("size(at) > 0 or links > 0").select("row", "at", each("near", "near"), each("links", "links")))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).alias("text"), _row(docs, doc_id, text).alias("row"))
+    # equal rows would take one salt
+    rows = join_small(rows, sums, ["row"], sums.count(), "left", BROADCAST_GONE, salts=1)
+    rows = rows.select("doc_id", "text", _left("text", "at").alias("left"), *[F.coalesce(c, F.lit(0)).cast("long").alias(f"n_{c}") for c in ("near", "links")])
+    return rows.select("doc_id", _n_lines("text").alias("n_lines"), (_n_lines("text") - _n_lines("left")).alias("n_removed"), "n_near", "n_links")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHARS, ladder: Ladder = LADDER, short: bool = False, share: int | None = None) -> DataFrame:
@@ -390,9 +404,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # no longer than the text has lines
     gone = cut(hits.filter("gone").groupBy(F.col("row").alias(key)).agg(F.collect_set("at").alias(at)))
     rows = join_small(docs.withColumn(key, _row(docs, doc_id, text)), gone, [key], gone.count(), "left", BROADCAST_GONE)
-    lines = F.split(F.col(quoted(text)), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    rows = rows.withColumn(out, F.when(F.col(at).isNull(), F.col(quoted(text))).otherwise(kept))
+    rows = rows.withColumn(out, _left(text, at))
     rows = rows.filter(F.col(at).isNull() | F.col(out).rlike(r"\S"))
     return rows.select(*[F.col(out).alias(c) if c == text else F.col(quoted(c)) for c in docs.columns])

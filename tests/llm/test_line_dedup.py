@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanwarden.llm import line_dedup
+from spanwarden.llm import line_dedup, queries
 from spanwarden.llm.common import cut, sifted
 
 SCHEMA = "doc_id long, text string, row int, at string, _row string"
@@ -176,3 +177,17 @@ def test_sifted_keeps_every_row_that_is_asked_for(spark, n):
     kept = [r["h"] for r in got.collect()]
     assert len(kept) == len(set(kept)) and {3 * i for i in range(n) if 3 * i < 20_000} <= set(kept)
     assert len(kept) <= n + 40
+
+
+def test_f1_query_counts_in_the_texts_that_are_left(spark, monkeypatch, tmp_path):
+    rows = corpus()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = sorted((str(d), *w[:4]) for (d, _), w in zip(rows, expected(rows, spark, line_dedup.LADDER, True), strict=True))
+    query = lambda: sorted((str(r["doc_id"]), *r[1:]) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect())
+    assert query() == want
+    # the texts are dealt out
+    monkeypatch.setattr(line_dedup, "BROADCAST_GONE", 0)
+    assert query() == want and any(removed == lines > 0 for _, lines, removed, _, _ in want)
+    # where no line is taken out of a text, none is counted
+    monkeypatch.setattr(line_dedup, "_left", lambda text, at: F.col(text), raising=False)
+    assert query() == [(d, lines, 0, near, links) for d, lines, _, near, links in want]
