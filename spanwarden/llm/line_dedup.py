@@ -28,7 +28,7 @@ through, and helper columns avoid their names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -366,12 +366,17 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     return hits.select("place.row", "place.at", (F.col("near") | (F.col("first") != F.col("place"))).alias("gone"), "near", "links")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: what a lambda calls from outside is worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _left(text: str, at: str) -> Column:
     """What is left of a text without its lines at the places ``at``; null where no line is left."""
-    lines = F.split(F.col(quoted(text)), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    return F.when(F.coalesce(F.size(at), F.lit(0)) <= 0, F.col(quoted(text))).when(F.size(stay) > 0, kept)
+    some = lambda lines, stay: F.when(F.size(stay) > 0, F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    stays = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
+    kept = _bound(F.split(F.col(quoted(text)), "\n", -1), lambda lines: _bound(stays(lines), lambda stay: some(lines, stay)))
+    return F.when(F.coalesce(F.size(at), F.lit(0)) <= 0, F.col(quoted(text))).otherwise(kept)
 
 
 def _n_lines(text: str) -> Column:

@@ -1,6 +1,7 @@
 """The whole line dedup query against brute force: ids that are missing or repeated, ties, templates, thresholds by length."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -191,3 +192,13 @@ def test_f1_query_counts_in_the_texts_that_are_left(spark, monkeypatch, tmp_path
     # where no line is taken out of a text, none is counted
     monkeypatch.setattr(line_dedup, "_left", lambda text, at: F.col(text), raising=False)
     assert query() == [(d, lines, 0, near, links) for d, lines, _, near, links in want]
+
+
+def test_f1_text_of_many_lines_is_split_once(spark):
+    # split for each of its lines it took 27 seconds, else less than one
+    lines = [f"{k:07d} stands in this line of the text {k * 7919 % 100_003}" for k in range(20_000)]
+    df = cut(spark.createDataFrame([("\n".join(lines), [1, 3, 19_999]), ("a\nb", [0, 1]), ("a\nb", []), ("a\n", [0]), (None, None)], "text string, at array<int>"))
+    began = time.monotonic()
+    left = [r["left"] for r in df.select(line_dedup._left("text", "at").alias("left")).collect()]
+    assert time.monotonic() - began < 12
+    assert sorted(map(str, left)) == sorted(map(str, ["\n".join([lines[0], lines[2], *lines[4:-1]]), None, "a\nb", "", None]))
